@@ -171,8 +171,7 @@ def explode_range(df: DataFrame, low: Column, high: Column, name: str,
     plus the number of chunks."""
     block = df.withColumn("_lo", low.cast("bigint")).withColumn("_hi", high.cast("bigint"))
     block = block.where("_hi >= _lo")
-    block = block.withColumn(
-        "_start", F.explode(F.expr(f"sequence(0L, (_hi - _lo) div {chunk}L)")) * chunk + F.col("_lo"))
+    block = block.withColumn("_start", F.explode(F.expr(f"sequence(_lo, _hi, {chunk}L)")))
     return (block.withColumn(name, F.explode(F.sequence(
         F.col("_start"), F.least(F.col("_hi"), F.col("_start") + (chunk - 1)))))
         .drop("_lo", "_hi", "_start"))

@@ -245,5 +245,5 @@ def recent_actions(pressure: DataFrame, n: int = 64) -> DataFrame:
     too, so one long run does not travel whole."""
     latest = Window.partitionBy("clip_id").orderBy(F.col("frame_no").desc())
     return (pressure.where(F.col("tier") != "NORMAL")
-            .withColumn("action_rank", F.row_number().over(latest)).where(F.col("action_rank") <= n)
+            .withColumn("action_rank", F.row_number().over(latest).cast("bigint")).where(F.col("action_rank") <= n)
             .withColumn("score", round_to("score", 3)))
