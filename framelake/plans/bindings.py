@@ -106,7 +106,9 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 100).alias("clip_id"),
-        F.col("l_orderkey").alias("frame_no"), F.col("l_linenumber").alias("box_no"),
+        F.expr("l_orderkey div 100").alias("frame_no"),
+        # line numbers repeat within an order; part and supplier make the number unique
+        ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 1_000_000 + F.col("l_suppkey")).alias("box_no"),
         ((F.col("l_partkey") * 13) % 200).cast("double").alias("x"),
         ((F.col("l_suppkey") * 29 + F.col("l_linenumber") * 7) % 150).cast("double").alias("y"),
         (F.lit(20) + F.col("l_quantity") * 4).alias("width"),
@@ -162,7 +164,8 @@ CTES = {
        CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
        CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN sha256('x') ELSE sha256(text) END AS expected_sha256
      FROM documents)""",
-    "B": """B AS (SELECT l_orderkey % 100 AS clip_id, l_orderkey AS frame_no, l_linenumber AS box_no,
+    "B": """B AS (SELECT l_orderkey % 100 AS clip_id, l_orderkey // 100 AS frame_no,
+       (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 1000000 + l_suppkey AS box_no,
        CAST((l_partkey * 13) % 200 AS DOUBLE) AS x,
        CAST((l_suppkey * 29 + l_linenumber * 7) % 150 AS DOUBLE) AS y,
        20 + l_quantity * 4 AS width, CAST(20 + (l_partkey % 50) * 4 AS DOUBLE) AS height, l_discount * 10 AS score

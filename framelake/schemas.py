@@ -8,7 +8,7 @@ CLIPS = ("clip_id BIGINT, width INT, height INT, rotation INT, duration_s DOUBLE
 FRAMES = ("clip_id BIGINT, frame_no BIGINT, pts_us BIGINT, dur_us BIGINT, value DOUBLE, pw INT, ph INT, "
           "luma ARRAY<INT>")
 AUDIO_BLOCKS = "clip_id BIGINT, block_no BIGINT, ts_us BIGINT, rate INT, channels INT, samples ARRAY<DOUBLE>"
-BOXES = ("clip_id BIGINT, frame_no BIGINT, box_no INT, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, "
+BOXES = ("clip_id BIGINT, frame_no BIGINT, box_no BIGINT, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, "
          "score DOUBLE, landmarks ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>")
 METRICS = ("clip_id BIGINT, sample_no INT, exposure DOUBLE, contrast DOUBLE, noise DOUBLE, detail DOUBLE, "
            "blocking DOUBLE, banding DOUBLE, clipped_shadows DOUBLE, clipped_highlights DOUBLE, saturation DOUBLE")
