@@ -131,11 +131,11 @@ CORNER = "cube[CAST(((lb + bz) * 2 + lg + gy) * 2 + lr + rx + 1 AS INT)]"
       f"ln[CAST(floor(sp.{c} / 2 * 24) AS INT) + 1].{c} + (ln[CAST(least(24, floor(sp.{c} / 2 * 24) + 1) AS INT) + 1].{c} - ln[CAST(floor(sp.{c} / 2 * 24) AS INT) + 1].{c}) * (sp.{c} / 2 * 24 - floor(sp.{c} / 2 * 24)) AS {c}" for c in "rgb")}
      FROM sp, ll WHERE lut = 1),
   al AS (SELECT * FROM c3 UNION ALL SELECT * FROM c1)
-SELECT sample_id, {each('round({c}0 + (' + c01('{c}') + ' - {c}0) * 0.75, 5)')} FROM al"""))
+SELECT sample_id, {each('round({c}0 + (' + c01('{c}') + ' - {c}0) * 0.75, 9)')} FROM al"""))
 def lut_apply(spark, sf_dir):
     rows = b.colour_samples(spark, sf_dir).select("sample_id", (F.col("sample_id") % 2).cast("int").alias("lut_id"),
                                                   *[(F.col(c) / 255).alias(c) for c in "rgb"])
-    return rounded(cop.lut_apply(rows, _luts(spark, sf_dir), 0.75).select("sample_id", "r", "g", "b"), 5)
+    return rounded(cop.lut_apply(rows, _luts(spark, sf_dir), 0.75).select("sample_id", "r", "g", "b"), 9)
 
 
 @query("colour_functions", b.sql("P", """h AS (SELECT *, CAST(r * 54 + g * 183 + b * 19 AS INT) >> 8 AS il, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b AS cb, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b AS cr,
