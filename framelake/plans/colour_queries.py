@@ -103,7 +103,7 @@ LUT_SQL = """n AS (SELECT n_nationkey AS k FROM nation),
   line AS (SELECT k AS i, k / 24 AS r, k * k / 576 AS g, (24 - k) / 24 AS b FROM n)"""
 
 
-def _luts(spark, sf_dir):
+def _cube_texts(spark, sf_dir):
     """Both tables as .cube text, so that the reader is part of the path."""
     k = F.col("n_nationkey")
     number = lambda v: F.format_string("%.15f", v.cast("double"))
@@ -115,7 +115,11 @@ def _luts(spark, sf_dir):
     body = cube.union(ramp).groupBy("lut_id").agg(F.concat_ws("\n", F.transform(
         F.array_sort(F.collect_list(F.struct("i", "t"))), lambda e: e["t"])).alias("body"))
     head = F.when(F.col("lut_id") == 0, 'TITLE "cube"\nLUT_3D_SIZE 2\n').otherwise("LUT_1D_SIZE 25\nDOMAIN_MAX 2 2 2 # wide\n")
-    return cop.lattice_rows_to_luts(*parse_cube(body.select("lut_id", F.concat(head, F.col("body")).alias("text"))))
+    return body.select("lut_id", F.concat(head, F.col("body")).alias("text"))
+
+
+def _luts(spark, sf_dir):
+    return cop.lattice_rows_to_luts(*parse_cube(_cube_texts(spark, sf_dir)))
 
 
 CORNER = "cube[CAST(((lb + bz) * 2 + lg + gy) * 2 + lr + rx + 1 AS INT)]"
