@@ -21,6 +21,11 @@ from framelake.session import ensure_checkpoints
 Fold = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Checkpoints, and gives the columns an identity of their own so they can meet their source."""
+    return df.checkpoint().toDF(*df.columns)
+
+
 def chained_fold(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], fold: Fold,
                  out_schema: str, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Folds every key in order and returns the fold's output rows.
@@ -31,7 +36,7 @@ def chained_fold(df: DataFrame, keys: Sequence[str], position: str, order: Seque
     cut = df.withColumn(SEG, segment_of(position, rows))
     group = keys + [SEG]
     ensure_checkpoints(df.sparkSession)
-    segments = cut.select(*group).distinct().checkpoint()
+    segments = _stored(cut.select(*group).distinct())
     ahead = Window.partitionBy(*keys).orderBy(SEG)
     linked = segments.withColumn("_next", F.lead(SEG).over(ahead))
     inner = linked.where("_next is not null").select(*group)
@@ -63,12 +68,13 @@ def _settled(cut: DataFrame, keys: list[str], order: list[str], fold: Fold, inne
         rows = cut.join(starts.select(*group), group, "left_semi")
         return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(run, schema)
 
-    states = fold_from(inner.withColumn("_start", F.lit(None).cast("string"))).checkpoint()
+    states = _stored(fold_from(inner.withColumn("_start", F.lit(None).cast("string"))))
     before = Window.partitionBy(*keys).orderBy(SEG)
     while True:
-        moved = (states.withColumn("_want", F.lag("_end").over(before))
-                 .where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*group, F.col("_want").alias("_start")).checkpoint())
+        moved = _stored(states.withColumn("_want", F.lag("_end").over(before))
+                              .where(~F.col("_want").eqNullSafe(F.col("_start")))
+                              .select(*group, F.col("_want").alias("_start")))
         if moved.isEmpty():
             return states
         kept = states.join(moved.select(*group), group, "left_anti")
-        states = kept.unionByName(fold_from(moved)).checkpoint()
+        states = _stored(kept.unionByName(fold_from(moved)))
