@@ -16,7 +16,7 @@ from framelake.functions.geometry import expand_box, iou
 from framelake.functions.mathx import dbl
 from framelake.functions.pixels import same_size, stacked
 from framelake.operators.chained import chained_fold
-from framelake.operators.ordered import SEGMENT_ROWS
+from framelake.operators.ordered import SEGMENT_ROWS, groups_fit
 
 FRAME = ["clip_id", "frame_no"]
 
@@ -64,18 +64,22 @@ def undo_letterbox(boxes: DataFrame, source_width, source_height, input_width: i
 
 
 def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = 4, min_score: float | None = None,
-        keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
+        keys=tuple(FRAME), tie: str = "box_no", gather_limit: int = 2_000) -> DataFrame:
     """Greedy non-maximum suppression by score within a frame.
 
-    With ``max_boxes`` the selection runs in that many rounds: the best remaining box per frame is
-    an aggregate (combined before the shuffle) and the boxes it covers are filtered by a join with
-    one row per frame, so no frame is gathered however many boxes it has. Without a maximum the
-    frame's boxes are folded as one array.
+    Frames are counted first. While each holds few boxes, its boxes are folded as one array. With
+    larger frames and ``max_boxes`` set, the selection runs in that many rounds: the best
+    remaining box per frame is an aggregate (combined before the shuffle) and the boxes it covers
+    are filtered by a join with one row per frame, so no frame is gathered.
     """
     keys = list(keys)
     rest = boxes if min_score is None else boxes.where(F.col("score") >= min_score)
-    if max_boxes is None:
-        return _nms_fold(rest, keys, threshold, tie)
+    if max_boxes is None or groups_fit(rest, keys, gather_limit):
+        return _nms_fold(rest, keys, threshold, tie, max_boxes)
+    return _nms_rounds(rest, keys, threshold, tie, max_boxes)
+
+
+def _nms_rounds(rest: DataFrame, keys: list[str], threshold: float, tie: str, max_boxes: int) -> DataFrame:
     plain = ["x", "y", "width", "height", "score", tie]
     order = F.struct(F.col("score"), -F.col(tie))
     # The chosen boxes of all rounds so far travel as an array of at most max_boxes structs.
@@ -90,12 +94,13 @@ def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = 4, min
     return rest.join(picked, keys + [tie])
 
 
-def _nms_fold(boxes: DataFrame, keys: list[str], threshold: float, tie: str) -> DataFrame:
+def _nms_fold(boxes: DataFrame, keys: list[str], threshold: float, tie: str, max_boxes: int | None) -> DataFrame:
     rest = [c for c in boxes.columns if c not in keys]
     entry = F.struct((-F.col("score")).alias("_s"), F.col(tie).alias("_t"), F.struct(*rest).alias("box"))
     grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    full = lambda acc: F.size(acc) >= max_boxes if max_boxes else F.lit(False)
     kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, e: F.when(
-        F.exists(acc, lambda k: iou(k["box"], e["box"]) >= threshold), acc).otherwise(F.array_append(acc, e)))
+        full(acc) | F.exists(acc, lambda k: iou(k["box"], e["box"]) >= threshold), acc).otherwise(F.array_append(acc, e)))
     return grouped.select(*keys, F.posexplode(kept).alias("rank", "_e")).select(*keys, "rank", "_e.box.*")
 
 

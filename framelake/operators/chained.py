@@ -8,8 +8,9 @@ result is exactly the sequential one; state machines that forget settle after a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from framelake.session import ensure_checkpoints
 
 # fold(rows in order, start state or None) -> (output rows, end state); states are short strings.
 Fold = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
+START, FIRST = "_start", "_first"
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -26,54 +28,91 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint().toDF(*df.columns)
 
 
+def _groups(parts: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of a sorted partition; a group may span several Arrow batches."""
+    waiting: list[pd.DataFrame] = []
+    for part in parts:
+        if not len(part):
+            continue
+        keys = part[group]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        if waiting and (waiting[-1][group].iloc[-1] == keys.iloc[0]).all():
+            starts = starts[1:]  # the first rows continue the waiting group
+        bounds = [0, *starts, len(part)] if len(starts) == 0 or starts[0] else [*starts, len(part)]
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            if low in starts and waiting:
+                yield pd.concat(waiting) if len(waiting) > 1 else waiting[0]
+                waiting = []
+            waiting.append(part.iloc[low:high])
+    if waiting:
+        yield pd.concat(waiting) if len(waiting) > 1 else waiting[0]
+
+
+def _fold_segments(rows: DataFrame, starts: DataFrame, group: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """Folds each (key, segment) once, beginning with the state its row in ``starts`` names.
+
+    The start state travels as one extra row in front of its segment.
+    """
+    marked = (rows.withColumn(START, F.lit(None).cast("string")).withColumn(FIRST, F.lit(1))
+              .unionByName(starts.withColumn(FIRST, F.lit(0)), allowMissingColumns=True))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _groups(parts, group):
+            lead = whole[FIRST].to_numpy() == 0
+            state = whole[START].iloc[0] if lead[0] else None
+            body = whole[~lead] if lead[0] else whole
+            if len(body):
+                yield fold(body, state)
+
+    return (marked.repartition(*group).sortWithinPartitions(*group, FIRST, *order).mapInPandas(run, schema))
+
+
 def chained_fold(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], fold: Fold,
                  out_schema: str, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Folds every key in order and returns the fold's output rows.
 
     The rounds run as jobs while the plan is built, but only when some key spans several segments.
+    Column types must survive a null in one row: use bigint, double, string or arrays.
     """
     keys, order = list(keys), list(order)
-    cut = df.withColumn(SEG, segment_of(position, rows))
     group = keys + [SEG]
+    cut = df.withColumn(SEG, segment_of(position, rows))
     ensure_checkpoints(df.sparkSession)
     segments = _stored(cut.select(*group).distinct())
-    ahead = Window.partitionBy(*keys).orderBy(SEG)
-    linked = segments.withColumn("_next", F.lead(SEG).over(ahead))
-    inner = linked.where("_next is not null").select(*group)
-    states = _settled(cut, keys, order, fold, inner)
-    starts = linked.where("_next is not null").join(states, group).select(
-        *keys, F.col("_next").alias(SEG), F.col("_end").alias("_start"))
+    linked = segments.withColumn("_next", F.lead(SEG).over(Window.partitionBy(*keys).orderBy(SEG))).where("_next is not null")
+    kinds = dict(cut.dtypes)
+    if linked.isEmpty():
+        starts = linked.select(*group, F.lit(None).cast("string").alias(START))
+    else:
+        states = _settled(cut, keys, order, fold, linked.select(*group), kinds)
+        starts = linked.join(states, group).select(*keys, F.col("_next").alias(SEG), F.col("_end").alias(START))
+    return _fold_segments(cut, starts, group, order, lambda pdf, state: fold(_typed(pdf, kinds), state)[0], out_schema)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return fold(left.sort_values(order), right["_start"].iloc[0] if len(right) else None)[0]
 
-    return cut.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(run, out_schema)
+def _typed(pdf: pd.DataFrame, kinds: dict[str, str]) -> pd.DataFrame:
+    """Integers again after the null of the start row made them floats."""
+    wrong = [c for c, kind in kinds.items() if kind in ("int", "bigint") and c in pdf and pdf[c].dtype.kind == "f"]
+    return pdf.astype({c: "int64" for c in wrong}) if wrong else pdf
 
 
-def _settled(cut: DataFrame, keys: list[str], order: list[str], fold: Fold, inner: DataFrame) -> DataFrame:
+def _settled(cut: DataFrame, keys: list[str], order: list[str], fold: Fold, inner: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """End state of every segment that has a successor."""
     group = keys + [SEG]
-    kinds = dict(cut.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", `_start` string, `_end` string"
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=group + ["_start", "_end"])
-        start = right["_start"].iloc[0]
-        out = left[group].iloc[:1].copy()
-        out["_start"], out["_end"] = start, fold(left.sort_values(order), start)[1]
+    def end_of(pdf: pd.DataFrame, state: str | None) -> pd.DataFrame:
+        out = pdf[group].iloc[:1].copy()
+        out[START], out["_end"] = state, fold(_typed(pdf, kinds), state)[1]
         return out
 
     def fold_from(starts: DataFrame) -> DataFrame:
-        rows = cut.join(starts.select(*group), group, "left_semi")
-        return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(run, schema)
+        return _fold_segments(cut.join(starts.select(*group), group, "left_semi"), starts, group, order, end_of, schema)
 
-    states = _stored(fold_from(inner.withColumn("_start", F.lit(None).cast("string"))))
+    states = _stored(fold_from(inner.withColumn(START, F.lit(None).cast("string"))))
     before = Window.partitionBy(*keys).orderBy(SEG)
     while True:
         moved = _stored(states.withColumn("_want", F.lag("_end").over(before))
-                              .where(~F.col("_want").eqNullSafe(F.col("_start")))
-                              .select(*group, F.col("_want").alias("_start")))
+                        .where(~F.col("_want").eqNullSafe(F.col(START))).select(*group, F.col("_want").alias(START)))
         if moved.isEmpty():
             return states
         kept = states.join(moved.select(*group), group, "left_anti")

@@ -90,21 +90,30 @@ def points_literal(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
 
 
-def curve_value(v, points: Column) -> Column:
-    """Piecewise-linear curve through an array of (x, y) structs, read at v bounded to 0..1."""
+def curve_value(v, points: Sequence[tuple[float, float]] | Column) -> Column:
+    """Piecewise-linear curve read at v bounded to 0..1: through fixed points, or through a per-row
+    array of (x, y) structs."""
     x = clamp01(v)
-    left = F.element_at(F.filter(points, lambda p: p["x"] <= x), -1)
-    right = F.get(F.filter(points, lambda p: p["x"] > x), F.lit(0))
-    share = F.try_divide(x - left["x"], right["x"] - left["x"])
-    return F.when(right.isNull(), left["y"]).otherwise(clamp01(left["y"] + (right["y"] - left["y"]) * share))
+    if isinstance(points, Column):
+        left = F.element_at(F.filter(points, lambda p: p["x"] <= x), -1)
+        right = F.get(F.filter(points, lambda p: p["x"] > x), F.lit(0))
+        share = F.try_divide(x - left["x"], right["x"] - left["x"])
+        return F.when(right.isNull(), left["y"]).otherwise(clamp01(left["y"] + (right["y"] - left["y"]) * share))
+    if [tuple(map(float, p)) for p in points] == list(IDENTITY_CURVE):
+        return x
+    out = F.lit(float(points[-1][1]))
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
+        out = F.when(x < x1, (x - x0) / (x1 - x0) * (y1 - y0) + y0).otherwise(out)
+    return out
 
 
 def curve_apply(samples: DataFrame, curve: str | Column, value: str = "value", out: str = "mapped") -> DataFrame:
     """Maps a 0..1 column through a curve text, or through a per-row array of points.
 
-    The few segments of a curve sit in the row as an array, so the range lookup needs no join.
+    A curve has few segments: they are cases of one expression, or an array in the row, so the
+    range lookup needs no join.
     """
-    points = curve if isinstance(curve, Column) else points_literal(parse_curve(curve))
+    points = curve if isinstance(curve, Column) else parse_curve(curve)
     return samples.withColumn(out, curve_value(value, points))
 
 
@@ -115,9 +124,9 @@ def lattice_rows_to_luts(headers: DataFrame, lattice: DataFrame) -> DataFrame:
 
     The format bounds a table at 65^3 entries, so a row stays small.
     """
-    colours = lattice.groupBy("lut_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "r", "g", "b"))),
-        lambda e: F.struct(e["r"].alias("r"), e["g"].alias("g"), e["b"].alias("b"))).alias("data"))
+    ordered = lattice.groupBy("lut_id").agg(F.array_sort(F.collect_list(F.struct("i", *RGB))).alias("_e"))
+    channel = lambda c: F.transform("_e", lambda e: e[c]).alias(f"data_{c}")
+    colours = ordered.select("lut_id", *[channel(c) for c in RGB])
     return headers.select("lut_id", "type", "size", "domain_min", "domain_max").join(colours, "lut_id")
 
 
@@ -133,31 +142,27 @@ def lut_apply(samples: DataFrame, luts: DataFrame, strength: float | Column = 1.
         low, high = F.get("domain_min", F.lit(i)), F.get("domain_max", F.lit(i))
         df = df.withColumn(f"_p{c}", clamp01((dbl(c) - low) / (high - low)) * last)
         df = df.withColumn(f"_l{c}", F.floor(f"_p{c}").cast("int"))
-        df = df.withColumn(f"_m{c}", F.col(f"_p{c}") - F.col(f"_l{c}")).withColumn(f"_h{c}", F.least(last, F.col(f"_l{c}") + 1))
-
-    def corner(ir, ig, ib, channel):
-        return F.get("data", ((ib * F.col("size") + ig) * F.col("size") + ir).cast("int"))[channel]
-
-    def mix3(channel):
-        mr, mg, mb = F.col("_mr"), F.col("_mg"), F.col("_mb")
-        total = F.lit(0.0)
-        for bz in (0, 1):
-            for gy in (0, 1):
-                for rx in (0, 1):
-                    weight = ((mr if rx else F.lit(1.0) - mr) * (mg if gy else F.lit(1.0) - mg) * (mb if bz else F.lit(1.0) - mb))
-                    total = total + weight * corner(F.col("_hr" if rx else "_lr"), F.col("_hg" if gy else "_lg"),
-                                                    F.col("_hb" if bz else "_lb"), channel)
-        return total
-
-    def mix1(channel):
-        a, z = F.get("data", F.col(f"_l{channel}"))[channel], F.get("data", F.col(f"_h{channel}"))[channel]
-        return a + (z - a) * F.col(f"_m{channel}")
+        df = df.withColumns({f"_m{c}": F.col(f"_p{c}") - F.col(f"_l{c}"), f"_h{c}": F.least(last, F.col(f"_l{c}") + 1)})
+    size = F.col("size")
+    # Row starts of the four (green, blue) corners, shared by the channels.
+    df = _set(df, {f"_s{g}{b}": (F.col(f"_{b}b") * size + F.col(f"_{g}g")) * size for g in "lh" for b in "lh"})
+
+    def mix3(c):
+        along = lambda start: _between(F.get(f"data_{c}", F.col(start) + F.col("_lr")), F.get(f"data_{c}", F.col(start) + F.col("_hr")), "_mr")
+        return _between(_between(along("_sll"), along("_shl"), "_mg"), _between(along("_slh"), along("_shh"), "_mg"), "_mb")
+
+    def mix1(c):
+        return _between(F.get(f"data_{c}", F.col(f"_l{c}")), F.get(f"data_{c}", F.col(f"_h{c}")), f"_m{c}")
 
     amount = strength if isinstance(strength, Column) else F.lit(float(strength))
     df = _set(df, {f"_o{c}": clamp01(F.when(F.col("type") == "3d", mix3(c)).otherwise(mix1(c))) for c in RGB})
     df = _set(df, {c: dbl(c) + (F.col(f"_o{c}") - dbl(c)) * amount for c in RGB})
-    helpers = [f"_{kind}{c}" for kind in "plmho" for c in RGB]
-    return df.drop("type", "size", "domain_min", "domain_max", "data", *helpers)
+    helpers = [f"_{kind}{c}" for kind in "plmho" for c in RGB] + [f"_s{g}{b}" for g in "lh" for b in "lh"]
+    return df.drop("type", "size", "domain_min", "domain_max", *[f"data_{c}" for c in RGB], *helpers)
+
+
+def _between(low: Column, high: Column, share: str) -> Column:
+    return low * (F.lit(1.0) - F.col(share)) + high * F.col(share)
 
 
 # ---- grading ------------------------------------------------------------------------------
@@ -199,9 +204,9 @@ def color_grade(samples: DataFrame, params: dict | None = None, luts: DataFrame
         m = p["mixer"]
         df = _set(df, {c: F.col("r") * m[3 * i] + F.col("g") * m[3 * i + 1] + F.col("b") * m[3 * i + 2] for i, c in enumerate(RGB)})
     df = df.withColumn("_y", co.luma709(*RGB))
-    df = df.withColumn("_d", curve_value("_y", points_literal(p["curves"]["luma"])) - F.col("_y"))
+    df = df.withColumn("_d", curve_value("_y", p["curves"]["luma"]) - F.col("_y"))
     names = dict(zip(RGB, ("red", "green", "blue")))
-    df = _set(df, {c: curve_value(F.col(c) + F.col("_d"), points_literal(p["curves"][names[c]])) for c in RGB}).drop("_y", "_d")
+    df = _set(df, {c: curve_value(F.col(c) + F.col("_d"), p["curves"][names[c]]) for c in RGB}).drop("_y", "_d")
     if luts is not None and p["lut_strength"] > 0:
         df = lut_apply(df, luts, p["lut_strength"])
     return _set(df, {c: byte(F.col(c) * 255).cast("int") for c in RGB})

@@ -177,14 +177,28 @@ def explode_range(df: DataFrame, low: Column, high: Column, name: str,
         .drop("_lo", "_hi", "_start"))
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                 buckets_per_octave: int = 4096) -> DataFrame:
+def groups_fit(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    """Whether no group has more than ``limit`` rows; one small counting job."""
+    return df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets_per_octave: int = 4096,
+                 gather_limit: int = 10_000) -> DataFrame:
     """Per key and column the element sorted[n div 2]; null and NaN count as 0.
 
-    Equal values are counted before the shuffle, a histogram finds the bucket that holds the
-    wanted rank, and only that bucket's distinct values are sorted.
+    When every group is counted to be small, its values are sorted in place. Otherwise equal
+    values are counted before the shuffle, a histogram finds the bucket that holds the wanted
+    rank, and only that bucket's distinct values are sorted, so no group is gathered.
     """
     keys = list(keys)
+    clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    if groups_fit(df, keys, gather_limit):
+        gathered = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(clean(c))).alias(c) for c in columns])
+        return gathered.select(*keys, *[F.get(c, F.expr(f"cast(size(`{c}`) div 2 as int)")).alias(c) for c in columns])
+    return _median_by_rank(df, keys, columns, buckets_per_octave)
+
+
+def _median_by_rank(df: DataFrame, keys: list[str], columns: Sequence[str], buckets_per_octave: int) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("_name"),
                                F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)),
                                           F.lit(0.0)).alias("_value")) for c in columns])
