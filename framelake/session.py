@@ -23,6 +23,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Methods over 8000 bytes are never compiled by the JVM; wide expressions run faster split up.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config(STATE_STORE_CONF, ROCKSDB_PROVIDER)
     )
     if shuffle_partitions:

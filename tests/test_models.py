@@ -127,14 +127,14 @@ def test_track_boxes_sequential(spark, every):
         assert got.get(frame, {}) == {i: pytest.approx(t) for i, t in enumerate(tracks)}
 
 
-@pytest.mark.parametrize("maximum", [4, 2, None])
-def test_nms_sequential(spark, maximum):
+@pytest.mark.parametrize("maximum,limit", [(4, 2000), (4, 0), (2, 0), (None, 2000)])
+def test_nms_sequential(spark, maximum, limit):
     rng = random.Random(8)
     data = [(1, frame, i, rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(20, 60), rng.uniform(20, 60), rng.choice([.1, .5, .5, .9]))
             for frame in range(12) for i in range(rng.randint(1, 14))]
     df = spark.createDataFrame(data, "clip_id bigint, frame_no bigint, box_no bigint, x double, y double, width double, height double, score double")
     got = {}
-    for r in boxes.nms(df, .3, maximum).collect():
+    for r in boxes.nms(df, .3, maximum, gather_limit=limit).collect():
         got.setdefault(r.frame_no, {})[r.rank] = r.box_no
     for frame in range(12):
         rest = sorted((d for d in data if d[1] == frame), key=lambda d: (-d[7], d[2]))

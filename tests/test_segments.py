@@ -64,10 +64,12 @@ def test_number_rows_counts_over_buckets(frames):
         assert [r.n for r in mine] == list(range(len(mine)))
 
 
-def test_upper_median_is_the_upper_one(spark):
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_upper_median_is_the_upper_one(spark, limit):
     rng = random.Random(1)
     data = [(k, rng.choice([None, float("nan"), 0.0, -3.5, rng.random(), 2.0 ** rng.randint(-8, 8)])) for k in range(6) for _ in range(3 + 7 * k)]
-    got = {r.clip_id: r.x for r in ordered.upper_median(spark.createDataFrame(data, "clip_id bigint, x double"), ["clip_id"], ["x"]).collect()}
+    got = {r.clip_id: r.x for r in ordered.upper_median(spark.createDataFrame(data, "clip_id bigint, x double"), ["clip_id"], ["x"],
+                                                            gather_limit=limit).collect()}
     for k in range(6):
         values = sorted(0.0 if v is None or v != v else v for c, v in data if c == k)
         assert got[k] == values[len(values) // 2]
