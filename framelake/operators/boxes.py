@@ -17,6 +17,7 @@ from framelake.functions.mathx import dbl
 from framelake.functions.pixels import same_size, stacked
 from framelake.operators.chained import chained_fold
 from framelake.operators.ordered import SEGMENT_ROWS, groups_fit
+from framelake.session import ensure_checkpoints
 
 FRAME = ["clip_id", "frame_no"]
 
@@ -68,17 +69,37 @@ def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = 4, min
     """Greedy non-maximum suppression by score within a frame.
 
     Frames are counted first. While each holds few boxes, its boxes are folded as one array. With
-    larger frames and ``max_boxes`` set, the selection runs in that many rounds: the best
-    remaining box per frame is an aggregate (combined before the shuffle) and the boxes it covers
-    are filtered by a join with one row per frame, so no frame is gathered.
+    larger frames the selection runs in rounds (``max_boxes`` of them, or until nothing is left):
+    the best remaining box per frame is an aggregate, combined before the shuffle, and the boxes
+    it covers are filtered by a join with one row per frame, so no frame is gathered.
     """
     keys = list(keys)
     rest = boxes if min_score is None else boxes.where(F.col("score") >= min_score)
-    if max_boxes is None or groups_fit(rest, keys, gather_limit):
+    if groups_fit(rest, keys, gather_limit):
         return _nms_fold(rest, keys, threshold, tie, max_boxes)
+    if max_boxes is None:
+        return _nms_until_empty(rest, keys, threshold, tie)
     return _nms_rounds(rest, keys, threshold, tie, max_boxes)
 
 
+def _nms_until_empty(rest: DataFrame, keys: list[str], threshold: float, tie: str) -> DataFrame:
+    """Rounds without a known number: each takes the best box per frame and drops what it covers."""
+    ensure_checkpoints(rest.sparkSession)
+    plain = ["x", "y", "width", "height", "score", tie]
+    order = F.struct(F.col("score"), -F.col(tie))
+    pending, picked, rank = rest.select(*keys, *plain).checkpoint(), None, 0
+    while not pending.isEmpty():
+        best = pending.groupBy(*keys).agg(F.max_by(F.struct(*plain), order).alias("_best")).checkpoint()
+        best = best.toDF(*best.columns)
+        found = best.select(*keys, F.lit(rank).alias("rank"), f"_best.{tie}")
+        picked = found if picked is None else picked.unionByName(found)
+        left = pending.join(best, keys).where((F.col(tie) != F.col(f"_best.{tie}"))
+                                              & (iou(F.col("_best"), F.struct(*plain)) < threshold))
+        left = left.drop("_best").checkpoint()
+        pending, rank = left.toDF(*left.columns), rank + 1
+    return rest.join(picked, keys + [tie]) if picked is not None else rest.withColumn("rank", F.lit(0))
+
+
 def _nms_rounds(rest: DataFrame, keys: list[str], threshold: float, tie: str, max_boxes: int) -> DataFrame:
     plain = ["x", "y", "width", "height", "score", tie]
     order = F.struct(F.col("score"), -F.col(tie))

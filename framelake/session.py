@@ -40,6 +40,8 @@ def work_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named

@@ -127,7 +127,7 @@ def test_track_boxes_sequential(spark, every):
         assert got.get(frame, {}) == {i: pytest.approx(t) for i, t in enumerate(tracks)}
 
 
-@pytest.mark.parametrize("maximum,limit", [(4, 2000), (4, 0), (2, 0), (None, 2000)])
+@pytest.mark.parametrize("maximum,limit", [(4, 2000), (4, 0), (2, 0), (None, 2000), (None, 0)])
 def test_nms_sequential(spark, maximum, limit):
     rng = random.Random(8)
     data = [(1, frame, i, rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(20, 60), rng.uniform(20, 60), rng.choice([.1, .5, .5, .9]))
