@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import pixels
-from framelake.functions.mathx import clamp_zero
-from framelake.operators.ordered import HOME, SEG, SEGMENT_ROWS, neighbours, segment_of, with_halo
+from framelake.operators.ordered import HOME, SEG, SEGMENT_ROWS, neighbours, with_halo
 
 CLIP = ["clip_id"]
 FIELD_TYPE = ("struct<global_dx: double, global_dy: double, confidence: double, motion: double, "

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import pixels
-from framelake.functions.mathx import clamp, clamp_zero, js_round, round_to, smoothstep
+from framelake.functions.mathx import clamp_zero, js_round, smoothstep
 from framelake.operators.ordered import (
-    HOME, SEG, SEGMENT_ROWS, keep_home, local_window, neighbours, running, upper_median, with_halo,
+    HOME, SEG, SEGMENT_ROWS, local_window, neighbours, running, upper_median, with_halo,
 )
 
 CLIP = ["clip_id"]
@@ -194,24 +194,32 @@ AUTOFIX_TYPE = ("exposure double, contrast double, saturation double, noise doub
                 "clipped_shadows double, clipped_highlights double, skin_presence double")
 
 
-def _metric_udf(return_type: str, measure):
-    """Arrow UDF over (r, g, b, pw, ph) columns; ``measure`` maps plane batches to a dict of arrays."""
+def _metric_udf(return_type: str, measure, channels: int):
+    """Arrow UDF over one grey or three colour planes with pw, ph; ``measure`` maps batches of
+    r, g, b planes to a dict of arrays. A grey plane crosses to Python once."""
     names = [part.split()[0] for part in return_type.split(", ")]
 
-    @F.arrow_udf(f"struct<{return_type}>")
-    def run(r: pa.Array, g: pa.Array, b: pa.Array, pw: pa.Array, ph: pa.Array) -> pa.Array:
+    def measured(planes: list[pa.Array], pw: pa.Array, ph: pa.Array) -> pa.Array:
         out = {name: np.empty(len(pw)) for name in names}
         for width, height, rows in pixels.same_size(pw, ph):
-            channels = [pixels.stacked(c, rows, width, height) for c in (r, g, b)]
-            for name, values in measure(*channels).items():
+            stacked = [pixels.stacked(c, rows, width, height) for c in planes]
+            for name, values in measure(*(stacked if len(stacked) == 3 else stacked * 3)).items():
                 out[name][rows] = values
         return pa.StructArray.from_arrays([pa.array(out[name]) for name in names], names=names)
 
+    if channels == 1:
+        @F.arrow_udf(f"struct<{return_type}>")
+        def run(grey: pa.Array, pw: pa.Array, ph: pa.Array) -> pa.Array:
+            return measured([grey], pw, ph)
+    else:
+        @F.arrow_udf(f"struct<{return_type}>")
+        def run(r: pa.Array, g: pa.Array, b: pa.Array, pw: pa.Array, ph: pa.Array) -> pa.Array:
+            return measured([r, g, b], pw, ph)
     return run
 
 
 def _luma(r, g, b):
-    return r if r is g or np.array_equal(r, g) and np.array_equal(g, b) else 0.2126 * r + 0.7152 * g + 0.0722 * b
+    return r if r is g and g is b else 0.2126 * r + 0.7152 * g + 0.0722 * b
 
 
 def _audit(r, g, b):
@@ -276,9 +284,9 @@ def _autofix(r, g, b):
 
 
 def _measured(frames: DataFrame, return_type: str, measure, colour: tuple[str, str, str], keep: list[str]) -> DataFrame:
-    # Repeating the grey plane costs nothing: Arrow sends one column once per reference only in name.
-    run = _metric_udf(return_type, measure)
-    return frames.select(*keep, run(*colour, "pw", "ph").alias("_m")).select(*keep, "_m.*")
+    inputs = colour[:1] if len(set(colour)) == 1 else colour
+    run = _metric_udf(return_type, measure, len(inputs))
+    return frames.select(*keep, run(*inputs, "pw", "ph").alias("_m")).select(*keep, "_m.*")
 
 
 def frame_audit(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_id", "frame_no")) -> DataFrame:

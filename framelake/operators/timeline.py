@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.mathx import clamp, js_round, round_to
 from framelake.operators.ordered import (
-    SEGMENT_ROWS, SEG, HOME, keep_home, neighbours, number_rows, running, upper_median, with_halo,
+    SEGMENT_ROWS, SEG, HOME, neighbours, number_rows, running, upper_median, with_halo,
 )
 
 CLIP = ["clip_id"]

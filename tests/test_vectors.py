@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.functions import geometry, mathx, text
 from framelake.operators import audio, boxes, colour_ops, motion, planes, retime, rules, storage, tiles, timeline
 from framelake.sources import media_files
-from framelake.sources.catalog import normalize_clips, read_clips, read_timeline
+from framelake.sources.catalog import read_clips, read_timeline
 
 
 def one(spark, column):
