@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import pareto_mix, simple8b_store
+from framelake.llm import kd_shards, pareto_mix, simple8b_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (pareto_mix, simple8b_store)
+MODULES = (pareto_mix, simple8b_store, kd_shards)
 
 
 def queries() -> dict[str, Query]:
