@@ -19,6 +19,7 @@ import pyarrow as pa
 from framelake.llm.text_blocks import byte_hash, raw
 
 KEPT_PIECES = 800_000
+JOINED = 2_000
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -68,6 +69,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.feed = self.whole.encode("\n", add_special_tokens=False).ids[0]
         self._forget()
 
     def _forget(self) -> None:
@@ -84,11 +86,10 @@ class PieceEncoder:
         found = np.array([self.slot.get(k, -1) for k in keys], np.int64)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            text = [data[a:b].tobytes().decode("utf-8") for a, b in
-                    zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
-            got = [e.ids for e in self.whole.encode_batch_fast(text, add_special_tokens=False)]
-            size = np.array([len(g) for g in got], np.int64)
-            fresh = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+            whole = data.tobytes()
+            text = [whole[a:b] for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            blank = _CLASS[data[end[missing] - 1]] == SPACE
+            size, fresh = self._encode(text, blank)
             base = len(self.size)
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
@@ -97,6 +98,32 @@ class PieceEncoder:
             self.slot.update(zip((keys[i] for i in missing.tolist()), range(base, base + len(missing)), strict=True))
         return found
 
+    def _encode(self, pieces: list[bytes], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per piece, all ids) of distinct pieces.
+
+        A line feed between two pieces is a piece and an id of its own, so thousands of pieces make one text; pieces
+        of white space alone (``blank``) are encoded one by one.
+        """
+        size = np.zeros(len(pieces), np.int64)
+        plain, rest = np.flatnonzero(~blank), np.flatnonzero(blank)
+        joined = [b"\n".join([pieces[i] for i in plain[k:k + JOINED].tolist()]).decode() for k in range(0, len(plain), JOINED)]
+        parts = []
+        for k, got in enumerate(self.whole.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            feeds = np.flatnonzero(ids == self.feed)
+            ends = np.append(feeds, len(ids))
+            size[plain[k * JOINED:(k + 1) * JOINED]] = np.diff(np.concatenate([[-1], ends])) - 1
+            parts.append(np.delete(ids, feeds))
+        alone = [pieces[i].decode() for i in rest.tolist()]
+        for i, got in zip(rest.tolist(), self.whole.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            size[i] = len(got.ids)
+            parts.append(np.array(got.ids, np.uint32))
+        order = np.concatenate([plain, rest])
+        first = np.zeros(len(pieces), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return size, ids[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
     def _set_apart(self, data: np.ndarray, at: np.ndarray) -> set[int]:
         """Texts that are to be encoded whole."""
         places = [np.flatnonzero(_UNSETTLED[data])]
