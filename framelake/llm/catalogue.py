@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import kd_shards, pareto_mix, region_join, simple8b_store
+from framelake.llm import class_lm, kd_shards, pareto_mix, region_join, simple8b_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (pareto_mix, simple8b_store, kd_shards, region_join)
+MODULES = (pareto_mix, simple8b_store, kd_shards, region_join, class_lm)
 
 
 def queries() -> dict[str, Query]:
