@@ -31,8 +31,8 @@ def _series(n: int, seed: int) -> np.ndarray:
 
 _BYTE_CODE = _series(256, 11)
 _POSITION = _series(SHINGLE, 911) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -78,26 +78,39 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         first = last
 
 
+def _running(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * _power(len(data))[0][:len(data)], out=total[1:])
+    return total
+
+
+def _range_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix64((total[end] - total[start]) * _power(len(total) - 1)[1][start] + (end - start).astype(np.uint64))
+
+
 def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, by differences of one running sum."""
-    n = len(data)
-    power, inverse = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * power[:n], out=total[1:])
-    return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return _range_hash(_running(data), start, end)
+
+
+def text_hash(word: str) -> int:
+    """The hash that ``Words`` gives a word."""
+    data = _LOWER[np.frombuffer(word.encode(), np.uint8)]
+    return int(byte_hash(data, np.array([0]), np.array([len(data)]))[0])
 
 
 class Words:
     """Words of a slice of texts: byte ranges, 64-bit hashes, and the first word of each text."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, apart: np.ndarray = BLANKS):
+        """``apart`` marks the bytes that part words."""
         data, at = raw(column)
         self.data = _LOWER[data]
         self.at = at
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[at] = True
-        inside = ~_SPACE[data]
+        inside = ~apart[data]
         first = inside & edge[:-1]
         first[1:] |= inside[1:] & ~inside[:-1]
         last = inside & edge[1:]
@@ -106,7 +119,12 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         #: words of text i are first[i]..first[i+1]
         self.first = np.searchsorted(self.start, at)
-        self.hash = byte_hash(self.data, self.start, self.end)
+        self._total = _running(self.data)
+        self.hash = _range_hash(self._total, self.start, self.end)
+
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """Hash of the first bytes of each word; of the whole word if it is shorter."""
+        return _range_hash(self._total, self.start, np.minimum(self.start + size, self.end))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
