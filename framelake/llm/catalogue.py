@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import class_lm, kd_shards, pareto_mix, region_join, simple8b_store, toxicity
+from framelake.llm import class_lm, kd_shards, pareto_mix, region_join, secret_scan, simple8b_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (pareto_mix, simple8b_store, kd_shards, region_join, class_lm, toxicity)
+MODULES = (pareto_mix, simple8b_store, kd_shards, region_join, class_lm, toxicity, secret_scan)
 
 
 def queries() -> dict[str, Query]:

@@ -33,8 +33,8 @@ _BYTE_CODE = _series(256, 11)
 _POSITION = _series(SHINGLE, 911) | np.uint64(1)
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -95,7 +95,7 @@ def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def text_hash(word: str) -> int:
     """The hash that ``Words`` gives a word."""
-    data = _LOWER[np.frombuffer(word.encode(), np.uint8)]
+    data = LOWER[np.frombuffer(word.encode(), np.uint8)]
     return int(byte_hash(data, np.array([0]), np.array([len(data)]))[0])
 
 
@@ -105,7 +105,7 @@ class Words:
     def __init__(self, column: pa.Array, apart: np.ndarray = BLANKS):
         """``apart`` marks the bytes that part words."""
         data, at = raw(column)
-        self.data = _LOWER[data]
+        self.data = LOWER[data]
         self.at = at
         n = len(data)
         edge = np.zeros(n + 1, bool)
