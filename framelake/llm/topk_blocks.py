@@ -25,11 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.shared import cut, read
-from pyspark.sql import Window
 
 TOP = 20
 EVERY = 20
@@ -198,10 +197,9 @@ def top_k(frame: DataFrame, top: int = TOP, every: int = EVERY, shard_rows: int
             out += [(q["key"], q["query_id"], 0, dims, b"", 0.0, *_columns(pool)) for q, pool in zip(mine, pools, strict=True) if pool]
         return _result(out)
 
-    places = packed.select(F.col("shard").alias("to")).distinct()
-    targets = cut(places.groupBy().agg(F.sort_array(F.collect_set("to")).alias("all")))  # one number per shard
-    asked = (home.select("key", "query_id", "shard", "dims", "vector", "least").join(F.broadcast(targets))
-             .withColumn("to", F.explode("all")).filter(F.col("to") != F.col("shard"))
+    last = packed.agg(F.max("shard")).first()[0] or 0
+    asked = (home.select("key", "query_id", "shard", "dims", "vector", "least")
+             .withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(last)))).filter(F.col("to") != F.col("shard"))
              .select(F.col("to").alias("shard"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("part"),
                      "key", "query_id", "dims", "vector", "least"))
     dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
