@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import class_lm, kd_shards, pareto_mix, region_join, secret_scan, simple8b_store, topk_blocks, toxicity
+from framelake.llm import benchmark_leaks, class_lm, kd_shards, pareto_mix, region_join, secret_scan, simple8b_store, topk_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (pareto_mix, simple8b_store, kd_shards, region_join, class_lm, toxicity, secret_scan, topk_blocks)
+MODULES = (pareto_mix, simple8b_store, kd_shards, region_join, class_lm, toxicity, secret_scan, topk_blocks, benchmark_leaks)
 
 
 def queries() -> dict[str, Query]:

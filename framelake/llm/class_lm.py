@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm import packed_sums
 from framelake.llm.shared import cut, held_back, read
 from framelake.llm.text_blocks import Words, mix64, slices
 
@@ -108,35 +109,10 @@ def unit_bigrams(docs: DataFrame, top: np.ndarray, top_unit: np.ndarray) -> np.n
                 token = _tokens(words, _units(words, top, top_unit))
                 before = np.concatenate([[END], token[:-1]])
                 table += np.bincount(before * UNITS + token, minlength=UNITS * UNITS)
-        yield from packed(table)
+        yield from packed_sums.packed(table, "<i8", BLOCK * UNITS)
 
-    def packed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = BLOCK * UNITS
-        for k in range(0, len(table), step):
-            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([table[k:k + step].astype("<i8").tobytes()],
-                                                                                          pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                got = np.frombuffer(counts.as_buffer(), "<i8")
-                held[block] = held[block] + got if block in held else got
-        for block, got in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([got.tobytes()], pa.binary())],
-                                             ["block", "counts"])
-
-    form = "block int, counts binary"
-    # tables of neighbouring tasks are added first, so that no task meets those of all others
-    tasks = docs.select("text").mapInArrow(count, form)
-    salted = tasks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(8)).cast("int"))
-    some = salted.repartition("block", "salt").select("block", "counts").mapInArrow(add, form)
-    table = np.zeros((-(-UNITS // BLOCK)) * BLOCK * UNITS, np.int64)
-    for row in some.repartition("block").mapInArrow(add, form).toLocalIterator():
-        at = row["block"] * BLOCK * UNITS
-        got = np.frombuffer(row["counts"], "<i8")
-        table[at:at + len(got)] += got
-    return table[:UNITS * UNITS].reshape(UNITS, UNITS)
+    rows = docs.select("text").mapInArrow(count, packed_sums.SCHEMA)
+    return packed_sums.total(rows, UNITS * UNITS, "<i8", BLOCK * UNITS).reshape(UNITS, UNITS)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ class ToxicityModel:
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Features of each text of a slice."""
-        words = Words(texts, _APART)
+        words = Words(pc.utf8_lower(texts), _APART)
         out = np.zeros((len(words.first) - 1, FEATURES))
         n = len(words.hash)
         if not n:
@@ -203,7 +204,7 @@ def _mark_rows(sample: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                words = Words(texts, _APART)
+                words = Words(pc.utf8_lower(texts), _APART)
                 owner = words.owner()
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)
                 number = part.column("number").to_numpy()
