@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import WORD, cut, read
+from framelake.llm.shared import WORD, cut, read, small_side
 
 WEIGHTS = (3, 1, 2)
 SHARE_PCT = 150
@@ -140,9 +140,8 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share_pct: int = SHARE_PCT, top:
 
 def _lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with the rule of their source; ``expected`` becomes that of their size."""
-    small = rules.count() <= SMALL_RULES
     side = rules.withColumnsRenamed({"source": "_rule", "expected": "_levels"}).drop("n")
-    joined = rows.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("_rule")))
+    joined = rows.join(small_side(side, SMALL_RULES), F.col("source").eqNullSafe(F.col("_rule")))
     return joined.withColumn("expected", F.element_at("_levels", _class(F.col("size")))).drop("_rule", "_levels")
 
 

@@ -25,6 +25,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return fresh_dir(spark, label)
 
 
+def small_side(frame: DataFrame, rows: int) -> DataFrame:
+    """A join side, counted first: broadcast if it has at most ``rows`` (narrow) rows, else left to a shuffled join."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
 def held_back(doc_id: Column, remainder: int) -> Column:
     """True for rows whose crc32(doc_id as text) mod 5 is the remainder; a null id is an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == remainder
