@@ -27,6 +27,15 @@ def stacked(planes: pa.Array, rows: np.ndarray, width: int, height: int) -> np.n
     return flat.astype(np.float64).reshape(len(rows), height, width)
 
 
+def flat_values(planes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a batch in a row, and how many each plane has; a null plane has none."""
+    size = np.zeros(len(planes), np.int64)
+    valid = np.flatnonzero(planes.is_valid().to_numpy(zero_copy_only=False))
+    if len(valid):
+        size[valid] = planes.take(pa.array(valid)).value_lengths().to_numpy(zero_copy_only=False)
+    return planes.flatten().to_numpy(zero_copy_only=False), size
+
+
 def interior(stride: int, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns visited by an interior scan with a stride, starting at 1."""
     return np.arange(1, height - 1, stride), np.arange(1, width - 1, stride)

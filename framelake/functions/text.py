@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from framelake.functions.mathx import dbl, js_round
 
 MIB = 1024 * 1024
-ENGINE_VERSION = "1"
-ALGORITHM_VERSION = "1"
+#: Version of the lists that keys are hashes of.
+FORM = 1
 
 
 def _col(c) -> Column:
@@ -33,41 +33,33 @@ def stable_json(settings) -> Column:
     return F.when(m.isNull(), "null").otherwise(F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}")))
 
 
-def _document(entries: dict[str, Column]) -> Column:
-    parts = [F.concat(F.lit(f'"{k}":'), entries[k]) for k in sorted(entries)]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def _fingerprint(kind: str, *parts: Column) -> Column:
+    """SHA-256 over a JSON list: what is named, the version of its form, and the parts in order."""
+    return F.sha2(F.concat(F.lit(f'["{kind}",{FORM}'), *[F.concat(F.lit(","), p) for p in parts], F.lit("]")), 256)
 
 
 def node_key(parent_key, stage_id, settings, model_sha256=None, metadata=None) -> Column:
-    """SHA-256 over parent, stage, settings, model, metadata and versions."""
-    model = F.coalesce(_col(model_sha256), F.lit("unversioned")) if model_sha256 is not None else F.lit("unversioned")
-    return F.sha2(_document({
-        "parentKey": json_text(parent_key), "stageId": json_text(stage_id), "settings": stable_json(settings),
-        "modelSHA256": json_text(model), "metadata": stable_json(metadata) if metadata is not None else F.lit("null"),
-        "engineVersion": json_text(F.lit(ENGINE_VERSION)), "algorithmVersion": json_text(F.lit(ALGORITHM_VERSION))}), 256)
+    """Name of a result: parent, stage, model, settings and metadata decide it."""
+    return _fingerprint("node", json_text(parent_key), json_text(stage_id),
+                        json_text(model_sha256) if model_sha256 is not None else F.lit("null"), stable_json(settings),
+                        stable_json(metadata) if metadata is not None else F.lit("null"))
 
 
-def source_key(content, name, modified, media_type, window: int = MIB) -> Column:
-    """SHA-256 over the hashes of the first and last MiB with name, size, time and type."""
+def source_key(content, name, modified, media_type) -> Column:
+    """Name of a source: the hash of its whole content, with size, name, type and time."""
     data = _col(content)
-    size = F.octet_length(data)
-    head = F.substring(data, F.lit(1), F.lit(window))
-    tail = F.substring(data, F.greatest(F.lit(1), size - window + 1), F.lit(window))
-    return F.sha2(_document({
-        "name": json_text(name), "size": size.cast("string"), "lastModified": F.coalesce(_col(modified).cast("string"), F.lit("0")),
-        "type": json_text(media_type), "headHash": json_text(F.sha2(head, 256)), "tailHash": json_text(F.sha2(tail, 256))}), 256)
+    return _fingerprint("source", json_text(F.sha2(data, 256)), F.octet_length(data).cast("string"), json_text(name),
+                        json_text(media_type), F.coalesce(_col(modified).cast("string"), F.lit("null")))
 
 
 def sanitize_name(c) -> Column:
-    """File-safe text: other characters become single dashes, the last 120 characters stay."""
-    safe = F.regexp_replace(F.regexp_replace(_col(c), "(?i)[^a-z0-9_.-]", "-"), "-+", "-")
-    return F.when(F.length(safe) > 120, F.substring(safe, F.length(safe) - 119, F.lit(120))).otherwise(safe)
+    """File-safe text: each run of anything but letters, digits, dot, dash and underscore becomes one underscore."""
+    return F.regexp_replace(_col(c), r"[^\p{L}\p{N}._-]+", "_")
 
 
 def stage_file_name(stage_id, source_name) -> Column:
-    """``stem_stage.mp4`` from a source name; the stem keeps letters, digits and ``. _ -`` and 56 characters."""
-    stem = F.regexp_replace(F.coalesce(_col(source_name), F.lit("video")), r"\.[^.]+$", "")
-    stem = F.substring(F.trim(F.regexp_replace(stem, r"[^\p{L}\p{N}._ -]+", "_")), 1, 56)
+    """``stem_stage.mp4`` from a source name without its last extension; without a name the stem is ``video``."""
+    stem = sanitize_name(F.regexp_replace(F.coalesce(_col(source_name), F.lit("")), r"\.[^.]+$", ""))
     return F.concat(F.when(stem == "", "video").otherwise(stem), F.lit("_"), _col(stage_id), F.lit(".mp4"))
 
 

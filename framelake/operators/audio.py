@@ -85,7 +85,7 @@ def adaptive_gain(blocks: DataFrame, target_db: float = -16, gate_db: float = -4
     out = blocks.withColumn("block_rms", block_rms())
     loud = F.col("block_rms") > gate
     out = running(out, CLIP, {"_loud": ("sum", F.when(loud, 1).otherwise(0), False)}, position="block_no", rows=rows)
-    active = with_halo(out.where(loud).select("clip_id", "block_no", "block_rms", "_loud"), "_loud",
+    active = with_halo(out.where(loud).select("clip_id", "block_no", "block_rms", "_loud"), CLIP, "_loud",
                        back=GAIN_WARMUP, rows=rows)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +177,7 @@ def noise_gate(blocks: DataFrame, threshold_db: float, attack_ms: float = 5, rel
 
 def _per_channel(blocks: DataFrame, fold, warmup_blocks: int, rows: int) -> DataFrame:
     channels = split_channels(blocks.select("clip_id", "block_no", "rate", "channels", "samples"))
-    spread = with_halo(channels, "block_no", back=warmup_blocks, rows=rows)
+    spread = with_halo(channels, ["clip_id", "channel"], "block_no", back=warmup_blocks, rows=rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_no")

@@ -16,8 +16,7 @@ from framelake.functions.geometry import expand_box, iou
 from framelake.functions.mathx import dbl
 from framelake.functions.pixels import same_size, stacked
 from framelake.operators.chained import chained_fold
-from framelake.operators.ordered import SEGMENT_ROWS, groups_fit
-from framelake.session import ensure_checkpoints
+from framelake.operators.ordered import SEGMENT_ROWS
 
 FRAME = ["clip_id", "frame_no"]
 
@@ -64,72 +63,30 @@ def undo_letterbox(boxes: DataFrame, source_width, source_height, input_width: i
     return out.withColumn("width", F.least(F.col("width"), sw - F.col("x"))).withColumn("height", F.least(F.col("height"), sh - F.col("y")))
 
 
-def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = 4, min_score: float | None = None,
-        keys=tuple(FRAME), tie: str = "box_no", gather_limit: int = 2_000) -> DataFrame:
-    """Greedy non-maximum suppression by score within a frame.
+def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = None, min_score: float | None = None,
+        keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
+    """Greedy non-maximum suppression by score within a frame; ``max_boxes`` stops after that many.
 
-    Frames are counted first. While each holds few boxes, its boxes are folded as one array. With
-    larger frames the selection runs in rounds (``max_boxes`` of them, or until nothing is left):
-    the best remaining box per frame is an aggregate, combined before the shuffle, and the boxes
-    it covers are filtered by a join with one row per frame, so no frame is gathered.
+    The boxes of a frame are sorted once and folded as one array: a box stays unless a kept one covers it. Equal scores
+    go by ``tie``, equal ties by the rest of the row, so a number that repeats is no problem.
     """
     keys = list(keys)
     rest = boxes if min_score is None else boxes.where(F.col("score") >= min_score)
-    if groups_fit(rest, keys, gather_limit):
-        return _nms_fold(rest, keys, threshold, tie, max_boxes)
-    if max_boxes is None:
-        return _nms_until_empty(rest, keys, threshold, tie)
-    return _nms_rounds(rest, keys, threshold, tie, max_boxes)
-
-
-def _nms_until_empty(rest: DataFrame, keys: list[str], threshold: float, tie: str) -> DataFrame:
-    """Rounds without a known number: each takes the best box per frame and drops what it covers."""
-    ensure_checkpoints(rest.sparkSession)
-    plain = ["x", "y", "width", "height", "score", tie]
-    order = F.struct(F.col("score"), -F.col(tie))
-    pending, picked, rank = rest.select(*keys, *plain).checkpoint(), None, 0
-    while not pending.isEmpty():
-        best = pending.groupBy(*keys).agg(F.max_by(F.struct(*plain), order).alias("_best")).checkpoint()
-        best = best.toDF(*best.columns)
-        found = best.select(*keys, F.lit(rank).alias("rank"), f"_best.{tie}")
-        picked = found if picked is None else picked.unionByName(found)
-        left = pending.join(best, keys).where((F.col(tie) != F.col(f"_best.{tie}"))
-                                              & (iou(F.col("_best"), F.struct(*plain)) < threshold))
-        left = left.drop("_best").checkpoint()
-        pending, rank = left.toDF(*left.columns), rank + 1
-    return rest.join(picked, keys + [tie]) if picked is not None else rest.withColumn("rank", F.lit(0))
-
-
-def _nms_rounds(rest: DataFrame, keys: list[str], threshold: float, tie: str, max_boxes: int) -> DataFrame:
-    plain = ["x", "y", "width", "height", "score", tie]
-    order = F.struct(F.col("score"), -F.col(tie))
-    # The chosen boxes of all rounds so far travel as an array of at most max_boxes structs.
-    chosen = rest.groupBy(*keys).agg(F.array(F.max_by(F.struct(*plain), order)).alias("_chosen"))
-    for _ in range(max_boxes - 1):
-        pending = rest.join(chosen, keys).where(~F.exists(
-            "_chosen", lambda c: iou(c, F.struct(*plain)) >= threshold))
-        best = pending.groupBy(*keys).agg(F.max_by(F.struct(*plain), order).alias("_best"))
-        chosen = chosen.join(best, keys, "left").select(*keys, F.when(
-            F.col("_best").isNotNull(), F.array_append("_chosen", F.col("_best"))).otherwise(F.col("_chosen")).alias("_chosen"))
-    picked = chosen.select(*keys, F.posexplode("_chosen").alias("rank", "_box")).select(*keys, "rank", f"_box.{tie}")
-    return rest.join(picked, keys + [tie])
-
-
-def _nms_fold(boxes: DataFrame, keys: list[str], threshold: float, tie: str, max_boxes: int | None) -> DataFrame:
-    rest = [c for c in boxes.columns if c not in keys]
-    entry = F.struct((-F.col("score")).alias("_s"), F.col(tie).alias("_t"), F.struct(*rest).alias("box"))
-    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    columns = [c for c in rest.columns if c not in keys]
+    entry = F.struct((-F.col("score")).alias("_s"), F.col(tie).alias("_t"), F.struct(*columns).alias("box"))
+    grouped = rest.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
     full = lambda acc: F.size(acc) >= max_boxes if max_boxes else F.lit(False)
     kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, e: F.when(
         full(acc) | F.exists(acc, lambda k: iou(k["box"], e["box"]) >= threshold), acc).otherwise(F.array_append(acc, e)))
     return grouped.select(*keys, F.posexplode(kept).alias("rank", "_e")).select(*keys, "rank", "_e.box.*")
 
 
-def top_boxes(boxes: DataFrame, n: int, by: str = "area", keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
+def top_boxes(boxes: DataFrame, n: int | None, by: str = "area", keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
     """The n largest (``area``) or best (``score``) boxes per frame."""
     measure = F.col("width") * F.col("height") if by == "area" else F.col("score")
     best = Window.partitionBy(*keys).orderBy(measure.desc(), F.col(tie))
-    return boxes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    ranked = boxes.withColumn("rank", F.row_number().over(best))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 # ---- tracking -----------------------------------------------------------------------------
@@ -159,7 +116,7 @@ def step_tracks(tracks: list[dict], found: list[dict], smoothing: float, min_iou
     return out + waiting
 
 
-def track_boxes(boxes: DataFrame, smoothing: float = 0.62, min_iou: float = 0.08, max_tracks: int = 4,
+def track_boxes(boxes: DataFrame, smoothing: float = 0.62, min_iou: float = 0.08, max_tracks: int | None = None,
                 every: int = 1, order: str = "box_no", rows: int = SEGMENT_ROWS) -> DataFrame:
     """Smoothed tracks per clip and frame.
 
@@ -219,7 +176,7 @@ def _components(mask: np.ndarray) -> list[tuple[int, ...]]:
     return out
 
 
-def region_proposals(frames: DataFrame, max_boxes: int = 4, cell: int = 6, share: float = 0.34,
+def region_proposals(frames: DataFrame, max_boxes: int | None = None, cell: int = 6, share: float = 0.34,
                      colour=("r", "g", "b"), width: str = "width", height: str = "height") -> DataFrame:
     """Boxes around connected skin-coloured cells of small colour planes, largest first.
 

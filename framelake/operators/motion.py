@@ -121,7 +121,7 @@ def stabilize_path(shifts: DataFrame, strength: float = 0.55, smoothing: float =
     amount = min(1.0, max(0.0, strength))
     back = math.ceil(math.log(1e-30) / math.log(a))
     rows = math.floor(600 / -math.log(a)) - back
-    out = with_halo(shifts, back=back, rows=rows)
+    out = with_halo(shifts, CLIP, back=back, rows=rows)
     w = Window.partitionBy(*CLIP, SEG).orderBy("frame_no")
     cut = F.coalesce(F.col("normalized_error") > scene_threshold, F.lit(False))
     out = out.withColumn("scene_cut", cut)
@@ -152,11 +152,12 @@ def history_blend(frames: DataFrame, strength: float = 0.45, history: int = 3, p
     keeps less than half of its past per step, so ``HISTORY_WARMUP`` extra frames in front of a
     segment give the same state as the whole clip would.
     """
-    history = max(1, min(3, int(round(history or 3))))
+    if history not in (1, 2, 3):
+        raise ValueError("history must be 1, 2 or 3")
     keep = ["clip_id", "frame_no", "pw", "ph"]
     base = frames.select(*keep, F.col(plane).alias("plane"), "global_dx", "global_dy", "confidence", "motion", "ready",
                          (F.col(cut) if cut else F.lit(False)).alias("cut"))
-    spread = with_halo(base, back=HISTORY_WARMUP, rows=rows)
+    spread = with_halo(base, CLIP, back=HISTORY_WARMUP, rows=rows)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_no")

@@ -4,11 +4,11 @@ A plain ``Window.partitionBy(clip_id)`` puts a whole clip into one task. Here a
 segments of consecutive positions and every window is partitioned by (key, segment):
 
 * bounded look-back or look-ahead copies the few rows next to a border into the neighbouring
-  segment (``with_halo``), so the only shuffle is the one the window needs anyway;
+  segment (``with_halo``), found from the ends of the segments that have rows;
 * running values are the local running value combined with the fold of all earlier segments
   (``running``); the fold runs over one pre-aggregated row per segment.
 
-Positions are dense 0-based ordinals per key; ``number_rows`` makes them.
+Positions are whole numbers that grow along a key; they may have holes. ``number_rows`` makes dense ones.
 """
 
 from __future__ import annotations
@@ -56,17 +56,49 @@ def segment_of(position: str, rows: int = SEGMENT_ROWS) -> Column:
     return F.expr(f"`{position}` div {int(rows)}L")
 
 
-def with_halo(df: DataFrame, position: str = "frame_no", back: int = 0, ahead: int = 0,
+def _lookers(df: DataFrame, keys: list[str], position: str, back: int, ahead: int) -> DataFrame:
+    """Per (key, segment) the segments that look into it: ``_seen`` as (segment, from position, up to position).
+
+    One row per segment that has rows: its number of positions and its outermost ones. Ordinals of whole segments then
+    tell how many rows of the end of a segment another one sees, so numbers may have holes of any size.
+    """
+    positions = F.collect_set(position)
+    ends = df.groupBy(*keys, SEG).agg(F.size(positions).alias("_n"), F.slice(F.sort_array(positions), 1, max(1, ahead)).alias("_first"),
+                                      F.slice(F.sort_array(positions, asc=False), 1, max(1, back)).alias("_last"))
+    order = Window.partitionBy(*keys).orderBy(SEG)
+    ends = ends.withColumn("_start", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = ends.withColumn("_end", F.col("_start") + F.col("_n"))
+    seen = []
+    if back:
+        later = F.collect_list(F.struct(F.col(SEG).alias("to"), F.col("_start").alias("start"))).over(order.rowsBetween(1, back))
+        used = F.filter(later, lambda t: t["start"] < F.col("_end") + back)
+        seen.append(F.transform(used, lambda t: F.struct(t["to"].alias("to"), F.element_at("_last", F.least(
+            F.col("_n"), F.col("_end") + back - t["start"]).cast("int")).alias("low"), F.lit(None).cast("bigint").alias("high"))))
+    if ahead:
+        earlier = F.collect_list(F.struct(F.col(SEG).alias("to"), F.col("_end").alias("end"))).over(order.rowsBetween(-ahead, -1))
+        used = F.filter(earlier, lambda t: F.col("_start") - t["end"] < ahead)
+        seen.append(F.transform(used, lambda t: F.struct(t["to"].alias("to"), F.lit(None).cast("bigint").alias("low"), F.element_at(
+            "_first", F.least(F.col("_n"), F.lit(ahead) - (F.col("_start") - t["end"])).cast("int")).alias("high"))))
+    return ends.select(*keys, SEG, F.concat(*seen).alias("_seen"))
+
+
+def with_halo(df: DataFrame, keys: Sequence[str], position: str = "frame_no", back: int = 0, ahead: int = 0,
               rows: int = SEGMENT_ROWS) -> DataFrame:
     """Puts each row in its own segment and in every segment whose rows look at it.
 
-    ``back``/``ahead`` say how many rows a row looks at before/after itself. Keep only rows with
-    ``_home`` true after the window.
+    ``back``/``ahead`` say how many rows a row looks at before/after itself, whatever their numbers are. Keep only
+    rows with ``_home`` true after the window.
     """
-    first = f"greatest(0L, `{position}` - {int(ahead)}L) div {int(rows)}L"
-    last = f"(`{position}` + {int(back)}L) div {int(rows)}L"
-    return (df.withColumn(SEG, F.explode(F.expr(f"sequence({first}, {last})")))
-            .withColumn(HOME, F.col(SEG) == segment_of(position, rows)))
+    keys = list(keys)
+    cut = df.withColumn(SEG, segment_of(position, rows))
+    if not back and not ahead:
+        return cut.withColumn(HOME, F.lit(True))
+    lookers = _lookers(cut.select(*keys, SEG, F.col(position).cast("bigint").alias(position)), keys, position, back, ahead)
+    inside = lambda t: F.coalesce(F.col(position) >= t["low"], F.col(position) <= t["high"])
+    return (cut.join(lookers, keys + [SEG], "left").withColumn("_own", F.col(SEG))
+            .withColumn(SEG, F.explode(F.concat(F.array("_own"), F.transform(F.filter(F.coalesce("_seen", F.array().cast(
+                "array<struct<to:bigint,low:bigint,high:bigint>>")), inside), lambda t: t["to"]))))
+            .withColumn(HOME, F.col(SEG) == F.col("_own")).drop("_own", "_seen"))
 
 
 def keep_home(df: DataFrame) -> DataFrame:
@@ -82,7 +114,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], position: str = "frame_no",
                rows: int = SEGMENT_ROWS) -> DataFrame:
     """Adds the previous (``lag``: new name -> column) and next (``lead``) row's values."""
     w = local_window(keys, position)
-    out = with_halo(df, position, back=1 if lag else 0, ahead=1 if lead else 0, rows=rows)
+    out = with_halo(df, keys, position, back=1 if lag else 0, ahead=1 if lead else 0, rows=rows)
     for name, source in (lag or {}).items():
         out = out.withColumn(name, F.lag(source).over(w))
     for name, source in (lead or {}).items():
@@ -177,28 +209,13 @@ def explode_range(df: DataFrame, low: Column, high: Column, name: str,
         .drop("_lo", "_hi", "_start"))
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """Whether no group has more than ``limit`` rows; one small counting job."""
-    return df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
-
-
-def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets_per_octave: int = 4096,
-                 gather_limit: int = 10_000) -> DataFrame:
+def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets_per_octave: int = 4096) -> DataFrame:
     """Per key and column the element sorted[n div 2]; null and NaN count as 0.
 
-    When every group is counted to be small, its values are sorted in place. Otherwise equal
-    values are counted before the shuffle, a histogram finds the bucket that holds the wanted
-    rank, and only that bucket's distinct values are sorted, so no group is gathered.
+    Equal values are counted before the shuffle, a histogram finds the bucket that holds the wanted rank, and only that
+    bucket's distinct values are sorted, so no group is gathered.
     """
     keys = list(keys)
-    clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    if groups_fit(df, keys, gather_limit):
-        gathered = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(clean(c))).alias(c) for c in columns])
-        return gathered.select(*keys, *[F.get(c, F.expr(f"cast(size(`{c}`) div 2 as int)")).alias(c) for c in columns])
-    return _median_by_rank(df, keys, columns, buckets_per_octave)
-
-
-def _median_by_rank(df: DataFrame, keys: list[str], columns: Sequence[str], buckets_per_octave: int) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("_name"),
                                F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)),
                                           F.lit(0.0)).alias("_value")) for c in columns])

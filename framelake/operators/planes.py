@@ -7,6 +7,7 @@ UDFs on batches of planes.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +73,9 @@ def duplicate_flags(frames: DataFrame, look_back: int = 2, threshold: float = 0.
                     cut_threshold: float = 0.24, plane: str = "luma", rows: int = SEGMENT_ROWS) -> DataFrame:
     """A frame is a duplicate when it equals one of the last ``look_back`` frames of its scene
     within the threshold. One shuffle: cuts are counted inside the same halo."""
-    look_back = max(1, min(12, int(look_back)))
+    look_back = max(1, int(look_back))
     w = local_window(CLIP)
-    out = with_halo(frames, back=look_back, rows=rows)
+    out = with_halo(frames, CLIP, back=look_back, rows=rows)
     out = out.withColumn("_prev", F.lag(plane).over(w))
     out = out.withColumn("_cut", F.when(F.col("_prev").isNotNull()
                                         & (mean_abs_difference(plane, "_prev") >= cut_threshold), 1).otherwise(0))
@@ -240,10 +241,9 @@ def _saturation(r, g, b, ys, xs):
     return share[:, ys[:, None], xs[None, :]]
 
 
-def _quality(r, g, b):
+def _quality(r, g, b, stride=1):
     luma = _luma(r, g, b)
-    _, height, width = luma.shape
-    s = pixels.stencil(luma, max(1, math.floor(math.sqrt(width * height / 120_000))))
+    s = pixels.stencil(luma, stride)
     c, gradient, flat = s["centre"], s["gradient"], (1, 2)
     n = max(1, c[0].size)
     mean = c.sum(flat) / n
@@ -262,10 +262,9 @@ def _quality(r, g, b):
     }
 
 
-def _autofix(r, g, b):
+def _autofix(r, g, b, stride=1):
     luma = _luma(r, g, b)
-    _, height, width = luma.shape
-    s = pixels.stencil(luma, max(1, math.floor(math.sqrt(width * height / 90_000))))
+    s = pixels.stencil(luma, stride)
     c, gradient, flat = s["centre"], s["gradient"], (1, 2)
     n = max(1, c[0].size)
     mean = c.sum(flat) / n
@@ -294,28 +293,31 @@ def frame_audit(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_
     return _measured(frames, AUDIT_TYPE, _audit, colour, list(keep))
 
 
-def frame_quality(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_id", "frame_no")) -> DataFrame:
-    """Nine quality metrics per plane; large planes are scanned with a stride."""
-    return _measured(frames, QUALITY_TYPE, _quality, colour, list(keep))
+def frame_quality(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_id", "frame_no"), stride: int = 1) -> DataFrame:
+    """Nine quality metrics per plane, over every ``stride``-th pixel of every ``stride``-th line."""
+    return _measured(frames, QUALITY_TYPE, partial(_quality, stride=stride), colour, list(keep))
 
 
-def frame_autofix(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_id", "frame_no")) -> DataFrame:
+def frame_autofix(frames: DataFrame, colour=("luma", "luma", "luma"), keep=("clip_id", "frame_no"), stride: int = 1) -> DataFrame:
     """Eight metrics with the correction thresholds, skin share included."""
-    return _measured(frames, AUTOFIX_TYPE, _autofix, colour, list(keep))
+    return _measured(frames, AUTOFIX_TYPE, partial(_autofix, stride=stride), colour, list(keep))
 
 
 def luma_histogram(frames: DataFrame, bins: int = 32, plane: str = "luma", keys=("clip_id", "frame_no")) -> DataFrame:
     """Dense histogram and cumulative counts per frame."""
     shift = int(math.log2(256 // bins))
-    counted = (frames.select(*keys, F.explode(plane).alias("_v"))
-               .groupBy(*keys, F.least(F.lit(bins - 1), F.shiftright("_v", shift)).alias("bin"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    per_frame = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
-    dense = per_frame.select(*keys, F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0))).alias("_n"))
-    return dense.select(*keys, F.posexplode("_n").alias("bin", "n"), "_n").select(
-        *keys, "bin", "n", F.aggregate(F.slice("_n", F.lit(1), F.col("bin") + 1), F.lit(0).cast("bigint"),
-                                       lambda acc, v: acc + v).alias("cumulative"))
+
+    @F.arrow_udf("array<struct<bin: int, n: bigint, cumulative: bigint>>")
+    def counted(planes: pa.Array) -> pa.Array:
+        flat, size = pixels.flat_values(planes)
+        owner = np.repeat(np.arange(len(size)), size)
+        inside = np.minimum(bins - 1, flat.astype(np.int64) >> shift)
+        n = np.bincount(owner * bins + inside, minlength=len(size) * bins).reshape(-1, bins)
+        rows = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(bins, dtype=np.int32), len(size))), pa.array(n.ravel()),
+                                           pa.array(n.cumsum(axis=1).ravel())], names=["bin", "n", "cumulative"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bins), rows)
+
+    return frames.select(*keys, F.inline(counted(plane)))
 
 
 # Warning codes of the clip summary with their thresholds (fixed values).

@@ -82,23 +82,24 @@ def union_outputs(source: DataFrame, generated: DataFrame, rows_order: Sequence[
             .unionByName(generated.withColumn("generated", F.lit(True)), allowMissingColumns=True))
 
 
-def window_samples(in_step_us: float, out_step_us: float, amount: float, maximum: int = 24) -> tuple[int, int]:
+def window_samples(in_step_us: float, out_step_us: float, amount: float, maximum: int | None = None) -> tuple[int, int]:
     """Requested and active number of frames in a shutter window."""
     if not (in_step_us > 0 and out_step_us > 0 and amount > 0):
         return 0, 0
     requested = max(1, math.floor(out_step_us / in_step_us * amount + 0.5))
-    return requested, min(requested, maximum)
+    return requested, requested if maximum is None else min(requested, maximum)
 
 
 def shutter_window(frames: DataFrame, in_step_us: float, out_step_us: float, amount: float = 1.0,
-                   max_samples: int = 24, scene: str | None = None, duplicate: str | None = None,
+                   max_samples: int | None = None, scene: str | None = None, duplicate: str | None = None,
                    duplicate_method: str = "skip", rows: int = SEGMENT_ROWS) -> DataFrame:
     """Frames that form each output tick's shutter window.
 
     A frame belongs to a tick when it starts before the tick ends, ends after the window starts,
     and no earlier frame of the scene had already covered the tick. The ticks of a frame follow
     in closed form from its times, so each frame emits its own ticks: no join against a grid and
-    nothing is gathered per scene. Per tick the last ``n`` frames stay.
+    nothing is gathered per scene. Per tick the last ``n`` frames stay; only
+    a given ``max_samples`` limits n.
     """
     _, n = window_samples(in_step_us, out_step_us, amount, max_samples)
     if n == 0:

@@ -154,7 +154,7 @@ def rolling_rate(ticks: DataFrame, time_ms: Column, window: int = 60, max_delta_
     steps = steps.withColumn("_delta", F.when((delta > 0) & (delta < max_delta_ms), delta))
     steps = running(steps, CLIP, {
         "_valid_no": ("sum", F.when(F.col("_delta").isNotNull(), 1).otherwise(0), True)}, rows=rows)
-    spread = with_halo(steps, "_valid_no", back=window - 1, rows=rows)
+    spread = with_halo(steps, CLIP, "_valid_no", back=window - 1, rows=rows)
     recent = (Window.partitionBy(*CLIP, SEG).orderBy("_valid_no").rangeBetween(-(window - 1), 0))
     out = spread.withColumn("frame_time_ms", F.avg("_delta").over(recent)).where(HOME)
     return (out.withColumn("fps", F.lit(1000.0) / F.col("frame_time_ms"))

@@ -182,7 +182,7 @@ NMS_SQL = f"""fr AS (SELECT clip_id, frame_no, list(struct_pack(x := x, y := y,
 @query("nms", b.sql("B", NMS_SQL + """, ex AS (SELECT clip_id, frame_no, unnest(kept[1:4]) AS k, unnest(range(len(kept[1:4]))) AS i FROM kp)
 SELECT clip_id, frame_no, k.box_no AS box_no, CAST(i AS INT) AS rank, round(k.score, 6) AS score FROM ex"""))
 def nms(spark, sf_dir):
-    return rounded(bx.nms(b.boxes(spark, sf_dir)).select("clip_id", "frame_no", "box_no", "rank", "score"))
+    return rounded(bx.nms(b.boxes(spark, sf_dir), max_boxes=4).select("clip_id", "frame_no", "box_no", "rank", "score"))
 
 
 @query("nms_unlimited", b.sql("B", NMS_SQL + """, ex AS (SELECT clip_id, frame_no, unnest(kept) AS k, unnest(range(len(kept))) AS i FROM kp)
@@ -213,7 +213,7 @@ def box_geometry(spark, sf_dir):
 @query("track_boxes")
 def track_boxes(spark, sf_dir):
     """Order-dependent matching: checked against a sequential model in the tests."""
-    out = bx.track_boxes(b.boxes(spark, sf_dir))
+    out = bx.track_boxes(b.boxes(spark, sf_dir), max_tracks=4)
     return rounded(out.select("clip_id", "frame_no", "track_no", "track_id", "x", "y", "width", "height", "score"))
 
 
@@ -257,5 +257,5 @@ def region_proposals(spark, sf_dir):
         "r": F.transform("luma", lambda v: F.least(F.lit(255), v + 60)), "g": F.col("luma"),
         "b": F.transform("luma", lambda v: F.greatest(F.lit(0), v - 20)), "width": F.lit(640), "height": F.lit(640)})
     planes = planes.withColumn("r", F.transform("luma", lambda v: F.when(v > 120, F.least(F.lit(255), v + 60)).otherwise(F.lit(10))))
-    out = bx.region_proposals(planes, cell=1)
+    out = bx.region_proposals(planes, max_boxes=4, cell=1)
     return rounded(out.select("clip_id", "frame_no", "rank", "cells", "x", "y", "width", "height"))

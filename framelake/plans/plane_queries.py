@@ -123,7 +123,7 @@ def artifact_guard(spark, sf_dir):
     """Triples: a frame, the next one, and the next but one as the candidate."""
     from framelake.operators.ordered import keep_home, local_window, with_halo
     w = local_window(["clip_id"])
-    rows = with_halo(b.planes(spark, sf_dir), ahead=2)
+    rows = with_halo(b.planes(spark, sf_dir), ["clip_id"], ahead=2)
     rows = rows.withColumn("c", F.lead("luma", 1).over(w)).withColumn("q", F.lead("luma", 2).over(w))
     out = keep_home(rows).where("q is not null").select("clip_id", "frame_no", pl.artifact_guard("luma", "c", "q").alias("g"))
     return rounded(out.select("clip_id", "frame_no", "g.*"))

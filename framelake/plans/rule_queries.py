@@ -65,15 +65,16 @@ def output_geometry(spark, sf_dir):
 
 
 @query("placement", b.sql("C", GEOMETRY_SQL + """,
-  pr AS (SELECT *, CAST(width AS DOUBLE) / height AS sa, CAST(out_width AS DOUBLE) / out_height AS oa FROM geo WHERE error IS NULL),
+  pr AS (SELECT *, CAST(width AS DOUBLE) / height AS sa, CAST(out_width AS DOUBLE) / out_height AS oa FROM geo),
   pc AS (SELECT *, CASE WHEN fit = 'cover' AND sa > oa THEN height * oa ELSE width END AS sw,
     CASE WHEN fit = 'cover' AND sa <= oa THEN width / oa ELSE height END AS sh,
     CASE WHEN fit = 'contain' AND sa <= oa THEN out_height * sa ELSE out_width END AS dw,
     CASE WHEN fit = 'contain' AND sa > oa THEN out_width / sa ELSE out_height END AS dh FROM pr)
-SELECT clip_id, round((width - sw) / 2, 4) AS sx, round((height - sh) / 2, 4) AS sy, round(CAST(sw AS DOUBLE), 4) AS sw, round(CAST(sh AS DOUBLE), 4) AS sh,
+SELECT clip_id, CASE WHEN error IS NULL THEN round((width - sw) / 2, 4) END AS sx, CASE WHEN error IS NULL THEN round((height - sh) / 2, 4) END AS sy,
+  CASE WHEN error IS NULL THEN round(CAST(sw AS DOUBLE), 4) END AS sw, CASE WHEN error IS NULL THEN round(CAST(sh AS DOUBLE), 4) END AS sh,
   round((out_width - dw) / 2, 4) AS dx, round((out_height - dh) / 2, 4) AS dy, round(CAST(dw AS DOUBLE), 4) AS dw, round(CAST(dh AS DOUBLE), 4) AS dh FROM pc"""))
 def placement(spark, sf_dir):
-    out = ru.placement(_geometry(spark, sf_dir).where("error is null"))
+    out = ru.placement(_geometry(spark, sf_dir))
     return rounded(out.select("clip_id", "placement.*"), 4)
 
 

@@ -140,8 +140,8 @@ def _node_keys(spark, sf_dir):
 
 
 NODE_SQL = """js AS (SELECT *, '{"a b":' || CAST(to_json('q"\\') AS VARCHAR) || ',"lang":' || CAST(to_json(lang) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}' AS settings FROM documents),
-  nk AS (SELECT doc_id, settings, sha256('{"algorithmVersion":"1","engineVersion":"1","metadata":{"fps":"30"},"modelSHA256":' || CAST(to_json(CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'unversioned' END) AS VARCHAR)
-    || ',"parentKey":"parent-' || (doc_id % 7) || '","settings":' || settings || ',"stageId":' || CAST(to_json(source) AS VARCHAR) || '}') AS node_key FROM js)"""
+  nk AS (SELECT doc_id, settings, sha256('["node",1,"parent-' || (doc_id % 7) || '",' || CAST(to_json(source) AS VARCHAR) || ','
+    || CASE WHEN doc_id % 2 = 0 THEN CAST(to_json(lang) AS VARCHAR) ELSE 'null' END || ',' || settings || ',{"fps":"30"}]') AS node_key FROM js)"""
 
 
 @query("node_key", b.sql("D", NODE_SQL + " SELECT doc_id, sha256(settings) AS settings_sha256, node_key FROM nk"))
@@ -165,27 +165,26 @@ def work_items(spark, sf_dir):
     return st.work_items(keys, nodes).select("doc_id")
 
 
-@query("source_key", b.sql("D", """x AS (SELECT doc_id, encode(text) AS c, text, lang, n_chars FROM documents)
-SELECT doc_id, sha256('{"headHash":"' || sha256(c[1:256]) || '","lastModified":' || n_chars || ',"name":' || CAST(to_json(lang) AS VARCHAR) || ',"size":' || octet_length(c)
-  || ',"tailHash":"' || sha256(c[greatest(1, octet_length(c) - 255):octet_length(c)]) || '","type":"text"}') AS source_key FROM x"""))
+@query("source_key", b.sql("D", """x AS (SELECT doc_id, encode(text) AS c, lang, n_chars FROM documents)
+SELECT doc_id, sha256('["source",1,"' || sha256(c) || '",' || octet_length(c) || ',' || CAST(to_json(lang) AS VARCHAR) || ',"text",' || n_chars || ']') AS source_key FROM x"""))
 def source_key(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").withColumn("content", F.encode("text", "utf-8"))
-    return docs.select("doc_id", tx.source_key("content", "lang", "n_chars", F.lit("text"), window=256).alias("source_key"))
+    return docs.select("doc_id", tx.source_key("content", "lang", "n_chars", F.lit("text")).alias("source_key"))
 
 
-@query("sanitize_name", b.sql("D", """x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^a-z0-9_.-]', '-', 'gi'), '-+', '-', 'g') AS s FROM documents)
-SELECT doc_id, s[greatest(1, length(s) - 119):] AS safe FROM x"""))
+@query("sanitize_name", b.sql("D", r"""x AS (SELECT 1) SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}._-]+', '_', 'g') AS safe FROM documents"""))
 def sanitize_name(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_name("text").alias("safe"))
 
 
-@query("stage_file_name", b.sql("D", r"""x AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(c_name || '.' || lang, '\.[^.]+$', ''), '[^\p{L}\p{N}._ -]+', '_', 'g'))[1:56] AS stem
-    FROM documents JOIN customer ON doc_id = c_custkey)
+@query("stage_file_name", b.sql("D", r"""x AS (SELECT doc_id, lang, regexp_replace(coalesce(c_name, ''), '[^\p{L}\p{N}._-]+', '_', 'g') AS stem
+    FROM documents LEFT JOIN customer ON doc_id = c_custkey)
 SELECT doc_id, CASE WHEN stem = '' THEN 'video' ELSE stem END || '_' || lang || '.mp4' AS name FROM x"""))
 def stage_file_name(spark, sf_dir):
+    """Documents without a customer of their number have no source name."""
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "lang")
     names = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
-    rows = docs.join(names, "doc_id")
+    rows = docs.join(names, "doc_id", "left")
     return rows.select("doc_id", tx.stage_file_name("lang", F.concat("c_name", F.lit("."), "lang")).alias("name"))
 
 
