@@ -149,13 +149,12 @@ PLAN_RULES_SQL = {
 SELECT clip_id, mode, """ + ", ".join(
     f"({on}) AS {k}_on, floor(greatest(0, least(1.35, ({v})::DOUBLE * sc)) * 1000 + 0.5) / 1000 AS {k}"
     for k, (on, v) in PLAN_RULES_SQL.items()) + """,
-  CASE WHEN blocking > 0.12 OR noise > 0.16 OR detail < 0.48 OR banding > 0.2 THEN concat_ws(' · ', CASE WHEN blocking > 0.12 THEN 'compression cleanup' END,
-    CASE WHEN noise > 0.16 THEN 'noise cleanup' END, CASE WHEN detail < 0.48 THEN 'detail recovery' END, CASE WHEN banding > 0.2 THEN 'deband' END)
-    ELSE 'clean source · conservative finish only' END AS summary FROM z"""))
+  concat_ws(',', CASE WHEN blocking > 0.12 THEN 'blocks' END, CASE WHEN noise > 0.16 THEN 'noise' END, CASE WHEN detail < 0.48 THEN 'soft' END,
+    CASE WHEN banding > 0.2 THEN 'bands' END) AS signals FROM z"""))
 def enhance_plan(spark, sf_dir):
     mode = F.element_at(F.array(F.lit("natural"), F.lit("strong"), F.lit("ultra")), (F.col("clip_id") % 3 + 1).cast("int"))
     out = ru.enhance_plan(_medians(spark, sf_dir).withColumn("mode", mode), F.col("mode"))
-    return out.select("clip_id", "mode", "summary",
+    return out.select("clip_id", "mode", F.array_join("signals", ",").alias("signals"),
                       *[F.col("stages")[k]["enabled"].alias(f"{k}_on") for k in ru.STAGES],
                       *[F.col("stages")[k]["strength"].alias(k) for k in ru.STAGES])
 

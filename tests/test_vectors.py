@@ -281,7 +281,7 @@ def test_enhance_plan_and_resolve(spark):
     rows = spark.createDataFrame([(.5, .5, .05, .2, .3, .05)], "exposure double, contrast double, noise double, detail double, blocking double, banding double")
     plan = rules.enhance_plan(rows, "strong").first()
     assert plan.stages["deblock"].enabled and plan.stages["fineDetailRecovery"].enabled and not plan.stages["denoise"].enabled
-    assert plan.stages["deblock"].strength == pytest.approx(.386) and plan.summary == "compression cleanup · detail recovery"
+    assert plan.stages["deblock"].strength == pytest.approx(.386) and plan.signals == ["blocks", "soft"]
     df = spark.createDataFrame([({"denoiseAmount": .9}, {"denoise": (False, .8), "deblock": (True, 5.0)})],
                                "effects map<string,double>, stages map<string,struct<enabled:boolean,strength:double>>")
     out = rules.split_settings(rules.resolve_settings(df)).first()
