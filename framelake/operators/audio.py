@@ -145,11 +145,10 @@ def _filter_states(x: np.ndarray, rate: float, highpass: float, lowpass: float,
 
 
 def audio_filter_chain(blocks: DataFrame, highpass_hz: float = 70, lowpass_hz: float = 16000, gate_db: float = -48,
-                       noise_reduction: float = 0.18, warmup_blocks: int = 512, rows: int = 4096) -> DataFrame:
+                       noise_reduction: float = 0.18, rows: int | None = None) -> DataFrame:
     """One-pole high-pass, low-pass and soft gate per channel, state carried across blocks.
 
-    ``warmup_blocks`` are replayed in front of each segment; they must span a few seconds (the
-    slowest part, the gate release, decays by e every 90 ms).
+    The slowest part, the gate release, decays by e every 90 ms, the high-pass every 1 / (2 pi f) seconds.
     """
     highpass, lowpass = min(1000, max(10, highpass_hz)), min(22000, max(1000, lowpass_hz))
     gate, reduction = gain_of(gate_db), min(1.0, max(0.0, noise_reduction))
@@ -157,12 +156,13 @@ def audio_filter_chain(blocks: DataFrame, highpass_hz: float = 70, lowpass_hz: f
     def fold(x, rate):
         return _filter_states(x, rate, highpass, lowpass, gate, reduction)[0]
 
-    return _per_channel(blocks, fold, warmup_blocks, rows)
+    slowest_s = 0.09 + 1 / (2 * math.pi * highpass)  # the gate forgets once the filters in front of it have
+    return _per_channel(blocks, fold, slowest_s, rows)
 
 
 def noise_gate(blocks: DataFrame, threshold_db: float, attack_ms: float = 5, release_ms: float = 80,
-               warmup_blocks: int = 512, rows: int = 4096) -> DataFrame:
-    """Hard gate with an attack/release envelope per channel."""
+               rows: int | None = None) -> DataFrame:
+    """Hard gate with an attack/release envelope per channel; the envelope decays by e in ``release_ms`` or ``attack_ms``."""
     threshold = gain_of(threshold_db)
 
     def fold(x, rate):
@@ -172,12 +172,31 @@ def noise_gate(blocks: DataFrame, threshold_db: float, attack_ms: float = 5, rel
         k = np.where(target > 0, 1 / attack, 1 / release)
         return x * linear_recurrence(1 - k, k * target, 1.0)
 
-    return _per_channel(blocks, fold, warmup_blocks, rows)
+    return _per_channel(blocks, fold, max(attack_ms, release_ms) / 1000, rows)
 
 
-def _per_channel(blocks: DataFrame, fold, warmup_blocks: int, rows: int) -> DataFrame:
+#: Time constants after which a state is below the last bit of a double: e ** -44 < 2 ** -63.
+FORGOTTEN = 44
+
+
+def warmup_blocks(channels: DataFrame, slowest_s: float) -> int:
+    """Blocks that certainly hold ``FORGOTTEN`` time constants, from the shortest block and the highest rate; one narrow job."""
+    ends = channels.where(F.size("samples") > 0).agg(F.max("rate").alias("rate"), F.min(F.size("samples")).alias("size")).first()
+    if ends["rate"] is None:
+        return 0
+    # a constant is at least one sample, and rounding may make it up to half a sample longer
+    return math.ceil(FORGOTTEN * (max(1.0, slowest_s * float(ends["rate"])) + 1) / ends["size"])
+
+
+def _per_channel(blocks: DataFrame, fold, slowest_s: float, rows: int | None) -> DataFrame:
+    """Runs a filter over segments, each behind a warm-up long enough to forget any state before it.
+
+    Empty blocks hold no state; they are passed by, and come back empty.
+    """
     channels = split_channels(blocks.select("clip_id", "block_no", "rate", "channels", "samples"))
-    spread = with_halo(channels, ["clip_id", "channel"], "block_no", back=warmup_blocks, rows=rows)
+    back = warmup_blocks(channels, slowest_s)
+    filled = channels.where(F.size("samples") > 0)
+    spread = with_halo(filled, ["clip_id", "channel"], "block_no", back=back, rows=rows or max(4096, 4 * back))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_no")
@@ -188,5 +207,6 @@ def _per_channel(blocks: DataFrame, fold, warmup_blocks: int, rows: int) -> Data
         result["samples"] = [part.tolist() for part in np.split(done, np.cumsum(sizes)[:-1])]
         return result[result[HOME]][["clip_id", "block_no", "channel", "samples"]]
 
-    return spread.groupBy("clip_id", "channel", SEG).applyInPandas(
-        run, "clip_id bigint, block_no bigint, channel int, samples array<double>")
+    out = "clip_id bigint, block_no bigint, channel int, samples array<double>"
+    empty = channels.where(F.size("samples") == 0).select("clip_id", "block_no", "channel", "samples")
+    return spread.groupBy("clip_id", "channel", SEG).applyInPandas(run, out).unionByName(empty)

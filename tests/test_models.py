@@ -47,6 +47,22 @@ def test_noise_gate_per_sample(spark, small):
         assert got[r.clip_id, r.block_no] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("run", [
+    lambda blocks, n: audio.noise_gate(blocks, -40, release_ms=100, rows=n),
+    lambda blocks, n: audio.audio_filter_chain(blocks, gate_db=-30, noise_reduction=1, rows=n)])
+def test_state_is_carried_over_any_number_of_short_blocks(spark, run):
+    """A loud start, then silence: the tail is all state, and must not depend on where a segment begins."""
+    rng = random.Random(3)
+    data = [(1, i, 1000, 1, [rng.uniform(-1, 1) if i < 3 else rng.uniform(-1e-3, 1e-3) for _ in range(16 if i % 7 else 3)] if i % 50 else [])
+            for i in range(1200)]
+    blocks = spark.createDataFrame(data, "clip_id bigint, block_no bigint, rate int, channels int, samples array<double>")
+    whole = {r.block_no: r.samples for r in run(blocks, 10**6).collect()}
+    parts = {r.block_no: r.samples for r in run(blocks, 250).collect()}
+    assert set(whole) == set(parts) == set(range(1200))
+    for k, samples in whole.items():
+        assert parts[k] == pytest.approx(samples, rel=1e-9, abs=1e-18)
+
+
 def test_noise_gate_with_instant_attack(spark, small):
     out = audio.noise_gate(b.audio_blocks(spark, small), -20).where("clip_id = 0 and block_no = 0").first()
     assert len(out.samples) == 64 and all(math.isfinite(v) for v in out.samples)

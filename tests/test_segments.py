@@ -128,7 +128,7 @@ def test_audio_segments(spark, small):
     blocks = b.audio_blocks(spark, small).cache()
     for run in (lambda n: audio.adaptive_gain(blocks, gate_db=-18.6, rows=n).select("clip_id", "block_no", F.round("gain", 9)),
                 lambda n: audio.peak_normalize(blocks, rows=n).select("clip_id", "block_no", "gain"),
-                lambda n: audio.audio_filter_chain(blocks, gate_db=-20, warmup_blocks=40, rows=n).select(
+                lambda n: audio.audio_filter_chain(blocks, gate_db=-20, rows=n).select(
                     "clip_id", "block_no", F.round(F.col("samples")[63], 9))):
         assert rows_of(run(9)) == rows_of(run(100_000))
 
