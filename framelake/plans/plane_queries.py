@@ -337,15 +337,41 @@ def adaptive_gain(spark, sf_dir):
     return rounded(out.select("clip_id", "block_no", "block_rms", "gain", "clipped_samples", "peak"))
 
 
-@query("audio_filter_chain")
+SAMPLES_SQL = """f AS (SELECT clip_id, block_no, unnest(samples) AS x, generate_subscripts(samples, 1) AS i FROM A),
+  n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY block_no, i) AS n FROM f)"""
+CHECKSUM_SQL = "SELECT clip_id, block_no, CAST(0 AS INT) AS channel, round(sum(y * i), 6) AS checksum FROM out GROUP BY clip_id, block_no"
+# 64 samples a second, one channel; a sample at a time.
+FILTER_SQL = b.sql("A", SAMPLES_SQL + """,
+  k AS (SELECT 1 / (1 + 2 * pi() * 70.0 / 64) AS a, 1 - exp(-2 * pi() * 64 * 0.48 / 64) AS b, pow(10.0, -20 / 20.0) AS gate,
+    1 - exp(-1 / (64 * 0.006)) AS attack, 1 - exp(-1 / (64 * 0.09)) AS release),
+  h AS (SELECT n.*, k.a * (x - 0.0) AS high, k.b * (k.a * (x - 0.0)) AS low FROM n, k WHERE n = 1
+    UNION ALL SELECT n.*, k.a * h.high + k.a * (n.x - h.x), (1 - k.b) * h.low + k.b * (k.a * h.high + k.a * (n.x - h.x))
+    FROM h JOIN n ON n.clip_id = h.clip_id AND n.n = h.n + 1, k),
+  g AS (SELECT h.clip_id, h.n, h.block_no, h.i, h.low, CASE WHEN abs(low) >= gate THEN (1 - attack) + attack ELSE (1 - release) + release * 0.82 END AS level
+    FROM h, k WHERE n = 1
+    UNION ALL SELECT h.clip_id, h.n, h.block_no, h.i, h.low, CASE WHEN abs(h.low) >= gate THEN (1 - attack) * g.level + attack
+      ELSE (1 - release) * g.level + release * 0.82 END FROM g JOIN h ON h.clip_id = g.clip_id AND h.n = g.n + 1, k),
+  out AS (SELECT *, low * level AS y FROM g)
+""" + CHECKSUM_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("audio_filter_chain", FILTER_SQL)
 def audio_filter_chain(spark, sf_dir):
-    """Sample-recursive: checked against a per-sample loop in the tests."""
     out = au.audio_filter_chain(b.audio_blocks(spark, sf_dir), gate_db=-20)
     total = F.aggregate(F.transform("samples", lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v)
     return out.select("clip_id", "block_no", "channel", F.round(total, 6).alias("checksum"))
 
 
-@query("noise_gate")
+NOISE_GATE_SQL = b.sql("A", SAMPLES_SQL + """,
+  w AS (SELECT *, CASE WHEN abs(x) >= pow(10.0, -20 / 20.0) THEN 1.0 ELSE 0.0 END AS t FROM n),
+  g AS (SELECT clip_id, n, block_no, i, x, CASE WHEN t = 1 THEN 1.0::DOUBLE ELSE (1 - 1 / 5.0::DOUBLE) END AS level FROM w WHERE n = 1
+    UNION ALL SELECT w.clip_id, w.n, w.block_no, w.i, w.x, CASE WHEN w.t = 1 THEN 1.0::DOUBLE ELSE (1 - 1 / 5.0::DOUBLE) * g.level END
+    FROM g JOIN w ON w.clip_id = g.clip_id AND w.n = g.n + 1),
+  out AS (SELECT *, x * level AS y FROM g)
+""" + CHECKSUM_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("noise_gate", NOISE_GATE_SQL)
 def noise_gate(spark, sf_dir):
     out = au.noise_gate(b.audio_blocks(spark, sf_dir), threshold_db=-20)
     total = F.aggregate(F.transform("samples", lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v)
