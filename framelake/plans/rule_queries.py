@@ -444,9 +444,12 @@ def assign_first_ready(spark, sf_dir):
         F.when(i % 3 == 0, 60.0).otherwise(F.col("fps")).alias("target_fps"), (i % 4 == 0).alias("wants_face"),
         F.when(i % 8 == 0, "poco-f6").otherwise("generic").alias("profile"))
     models = sorted({m for names in ru.MODEL_PREFERENCES.values() for m in names})
-    status = requests.select("clip_id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
-    status = status.withColumn("ready", (F.col("clip_id") + F.length("model_id")) % 2 == 0)
-    return ru.assign_first_ready(ru.model_preferences(requests, "clip_id"), status, "clip_id", ("clip_id", "model_id"))
+    # what is ready belongs to a class of devices, so the status table stays small beside the requests
+    status = (requests.select((i % 2).alias("device")).distinct()
+              .select("device", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
+              .withColumn("ready", (F.col("device") + F.length("model_id")) % 2 == 0))
+    wanted = ru.model_preferences(requests, "clip_id").withColumn("device", i % 2)
+    return ru.assign_first_ready(wanted, status, "clip_id", ("device", "model_id"))
 
 
 STAGE_LIST = ["restore", "detail", "sharp", "face", "upscale", "motion", "rife", "stabilize", "blur", "color"]

@@ -165,6 +165,19 @@ def work_items(spark, sf_dir):
     return st.work_items(keys, nodes).select("doc_id")
 
 
+@query("apply_stage", b.sql("D", """x AS (SELECT 1) SELECT doc_id, CAST(n_chars * 2 AS BIGINT) AS value, false AS hit FROM documents
+UNION ALL SELECT doc_id, CAST(n_chars AS BIGINT), true FROM documents"""))
+def apply_stage(spark, sf_dir):
+    """A stage that runs, and again with its node materialised: the stored result is read."""
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("bigint").alias("value"))
+    run = lambda nodes: st.apply_stage(docs, "root", "double", {"factor": "2"}, lambda d: d.withColumn("value", F.col("value") * 2), nodes,
+                                       lambda key: docs)
+    none = spark.createDataFrame([], "node_key string, bytes bigint")
+    fresh, key, missed = run(none)
+    stored, _, hit = run(spark.createDataFrame([(key, 10)], "node_key string, bytes bigint"))
+    return fresh.withColumn("hit", F.lit(missed)).unionByName(stored.withColumn("hit", F.lit(hit)))
+
+
 @query("source_key", b.sql("D", """x AS (SELECT doc_id, encode(text) AS c, lang, n_chars FROM documents)
 SELECT doc_id, sha256('["source",1,"' || sha256(c) || '",' || octet_length(c) || ',' || CAST(to_json(lang) AS VARCHAR) || ',"text",' || n_chars || ']') AS source_key FROM x"""))
 def source_key(spark, sf_dir):
