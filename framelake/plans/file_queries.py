@@ -54,15 +54,16 @@ def audit_mp4(spark, sf_dir):
     return mf.audit_mp4(mf.scan_mp4_boxes(_mp4(spark, sf_dir))).withColumn("boxes", F.col("boxes").cast("int"))
 
 
-@query("scan_mp4_boxes", b.sql("D", """x AS (SELECT doc_id, octet_length(encode(text)) AS n, octet_length(encode(lang)) AS l FROM documents WHERE doc_id % 5 < 2),
-  r AS (SELECT doc_id, n, l, doc_id % 5 AS k, unnest([0, 1, 2]) AS box_no FROM x)
-SELECT CAST(doc_id AS VARCHAR) AS path, box_no, CASE WHEN box_no = 0 THEN 'ftyp' WHEN (box_no = 1) = (k = 0) THEN 'moov' ELSE 'mdat' END AS type,
-  CAST(CASE box_no WHEN 0 THEN 0 WHEN 1 THEN 16 ELSE CASE WHEN k = 0 THEN 24 + l ELSE 32 + n END END AS BIGINT) AS offset,
-  CAST(CASE WHEN box_no = 0 THEN 16 WHEN (box_no = 1) = (k = 0) THEN 8 + l WHEN k = 0 THEN 8 + n ELSE 16 + n END AS BIGINT) AS size FROM r"""))
+@query("scan_mp4_boxes", b.sql("D", """x AS (SELECT doc_id, doc_id % 5 AS k, octet_length(encode(text)) AS n, octet_length(encode(lang)) AS l FROM documents),
+  s AS (SELECT doc_id, k, CASE k WHEN 0 THEN ['ftyp', 'moov', 'mdat'] WHEN 1 THEN ['ftyp', 'mdat', 'moov'] WHEN 2 THEN ['moov', 'ftyp', 'mdat']
+      WHEN 3 THEN ['ftyp', NULL] ELSE [NULL] END AS types,
+    CASE k WHEN 0 THEN [16, 8 + l, 8 + n] WHEN 1 THEN [16, 16 + n, 8 + l] WHEN 2 THEN [8 + l, 16, 8 + n] WHEN 3 THEN [16, NULL] ELSE [NULL] END AS sizes FROM x),
+  r AS (SELECT *, unnest(range(len(types))) AS i FROM s)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i AS INT) AS box_no, types[i + 1] AS type, CAST(coalesce(list_sum(sizes[1:i]), 0) AS BIGINT) AS offset,
+  CAST(sizes[i + 1] AS BIGINT) AS size, CASE WHEN k = 3 AND i = 1 THEN 'invalid_box_size' WHEN k = 4 THEN 'header_too_short' END AS problem FROM r"""))
 def scan_mp4_boxes(spark, sf_dir):
-    boxes = mf.scan_mp4_boxes(_mp4(spark, sf_dir))
-    healthy = boxes.where(F.col("path").cast("bigint") % 5 < 2)
-    return healthy.select("path", "box_no", "type", "offset", "size")
+    """Boxes of all files, broken ones with what ended the walk."""
+    return mf.scan_mp4_boxes(_mp4(spark, sf_dir)).select("path", "box_no", "type", "offset", "size", "problem")
 
 
 @query("scan_ivf_packets", b.sql("D", r"""l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: p <> '') AS ls FROM documents),

@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PREFIX_BYTES = 2 * 1024 * 1024
 MAX_SAFE_SIZE = 2 ** 53 - 1
 
 
@@ -74,9 +73,10 @@ def _boxes(data: bytes) -> Iterator[dict]:
         offset, number = offset + size, number + 1
 
 
-def scan_mp4_boxes(files: DataFrame, prefix: int = PREFIX_BYTES) -> DataFrame:
-    """Top-level boxes found in the first ``prefix`` bytes of each file."""
-    return _rows_of(files, _boxes, BOX_SCHEMA, F.substring("content", F.lit(1), F.lit(prefix)))
+def scan_mp4_boxes(files: DataFrame, prefix: int | None = None) -> DataFrame:
+    """Top-level boxes of each file; only those of the first ``prefix`` bytes if that is given."""
+    content = F.col("content") if prefix is None else F.substring("content", F.lit(1), F.lit(prefix))
+    return _rows_of(files, _boxes, BOX_SCHEMA, content)
 
 
 def audit_mp4(boxes: DataFrame) -> DataFrame:
