@@ -18,7 +18,9 @@ import pyarrow as pa
 
 from framelake.llm.text_blocks import byte_hash, raw
 
-KEPT_PIECES = 800_000
+#: Pieces that a worker remembers, some 40 MB.
+KEPT_PIECES = 700_000
+TABLE_BITS = 21
 JOINED = 2_000
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -63,6 +65,37 @@ def piece_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class _HashTable:
+    """64-bit hash -> slot, with open addressing in two arrays; lookups and inserts take whole arrays."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slots = np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, place = np.arange(len(hashes)), hashes & self.mask
+        while len(left):
+            used = self.slots[place] >= 0
+            same = used & (self.keys[place] == hashes[left])
+            out[left[same]] = self.slots[place[same]]
+            on = used & ~same
+            left, place = left[on], (place[on] + np.uint64(1)) & self.mask
+        return out
+
+    def insert(self, hashes: np.ndarray, first: int) -> None:
+        """Gives distinct unknown hashes the slots from ``first`` on."""
+        left, place = np.arange(len(hashes)), hashes & self.mask
+        while len(left):
+            free = np.flatnonzero(self.slots[place] < 0)
+            self.slots[place[free]] = first + left[free]  # of several for one place the last stays
+            got = self.slots[place] == first + left
+            self.keys[place[got]] = hashes[left[got]]
+            left, place = left[~got], (place[~got] + np.uint64(1)) & self.mask
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,17 +106,18 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.table = _HashTable(TABLE_BITS)
         self.pool = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
 
     def _slots(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pool slot of each distinct piece; unknown ones are encoded."""
-        if len(self.slot) > KEPT_PIECES:
+        if len(self.size) + len(hashes) > KEPT_PIECES:
             self._forget()
-        keys = hashes.tolist()
-        found = np.array([self.slot.get(k, -1) for k in keys], np.int64)
+            if len(hashes) > KEPT_PIECES:
+                self.table = _HashTable(len(hashes).bit_length() + 1)
+        found = self.table.find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             whole = data.tobytes()
@@ -91,11 +125,11 @@ class PieceEncoder:
             blank = _CLASS[data[end[missing] - 1]] == SPACE
             size, fresh = self._encode(text, blank)
             base = len(self.size)
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
+            self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
             self.pool = np.concatenate([self.pool, fresh])
             found[missing] = base + np.arange(len(missing))
-            self.slot.update(zip((keys[i] for i in missing.tolist()), range(base, base + len(missing)), strict=True))
+            self.table.insert(hashes[missing], base)
         return found
 
     def _encode(self, pieces: list[bytes], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +183,7 @@ class PieceEncoder:
             start, end = start[keep], end[keep]
             hashes, where, back = np.unique(byte_hash(data, start, end), return_index=True, return_inverse=True)
         slot = self._slots(hashes, data, start[where], end[where])[back]
-        size = self.size[slot]
+        size = self.size[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.first[slot] - upto[:-1], size) + np.arange(upto[-1])]
         piece = np.searchsorted(start, at)

@@ -42,7 +42,7 @@ LEXICON = 1 << 18
 ROUNDS = 8
 K = 8.0
 #: Words that a task counts before it sends their counts on.
-SEND_WORDS = 2_000_000
+SEND_WORDS = 1_000_000
 #: Rows of the bigram table in one packed row.
 BLOCK = 128
 

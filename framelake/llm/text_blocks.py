@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -43,11 +43,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) > n:
         return _powers[0], _powers[1]
     made = []
+    size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2)) if n <= 2 * SLICE_BYTES else n
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(n + 1, base, np.uint64)
+        steps = np.full(size + 1, base, np.uint64)
         steps[0] = 1
         made.append(np.multiply.accumulate(steps))
-    if n <= SLICE_BYTES + (1 << 20):
+    if n <= 2 * SLICE_BYTES:
         _powers[:] = made
     return made[0], made[1]
 
@@ -76,6 +77,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield batch.slice(first, last - first), column.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def _running(data: np.ndarray) -> np.ndarray:
