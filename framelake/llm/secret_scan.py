@@ -234,5 +234,32 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+def _sql_pattern(rule: Rule) -> str:
+    """The rule for an engine whose case folding knows more than ASCII: letters in either case are spelled out."""
+    pattern = rule.pattern
+    if rule.flags & re.IGNORECASE:
+        word = re.compile(r"[a-z]{3,}")
+        pattern = word.sub(lambda m: "".join(f"[{c}{c.upper()}]" for c in m[0]), pattern)
+    return pattern.replace("'", "''")
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """Spans from the matches in order: each is the first occurrence of its text behind the one before."""
+    finds = " UNION ALL ".join(f"""SELECT doc_id, k, kind, f,
+      length({f"regexp_extract(f.m, '{_sql_pattern(r)}', {r.group})" if r.group else 'f.m'}) >= {r.least} AS long
+      FROM (SELECT doc_id, {k} AS k, '{r.kind}' AS kind, unnest(list_reduce(regexp_extract_all(t, '{_sql_pattern(r)}'),
+      lambda a, m: {{'pos': a.pos + strpos(substr(t, a.pos + 1), m) - 1 + length(m), 'spans': list_append(a.spans,
+        {{'s': a.pos + strpos(substr(t, a.pos + 1), m) - 1, 'm': m}})}},
+      {{'pos': 0::BIGINT, 'spans': []::STRUCT(s BIGINT, m VARCHAR)[]}}).spans) AS f FROM d)"""
+                               for k, r in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({finds}),
+spans AS (SELECT doc_id, k, f.s AS s, kind || ':' || f.s || ':' || (f.s + length(f.m)) AS shown FROM found WHERE long)
+SELECT d.doc_id, """ + ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE)) + f""",
+  sha256(coalesce(string_agg(shown, ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(shown, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id GROUP BY d.doc_id"""
+
+
 QUERIES = {"op3_secret_scan": op3_secret_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_secret_scan": oracle()}
