@@ -171,8 +171,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share_pct: int = SHARE_PCT, top: int
     """The mix itself: every row of ``docs`` as often as it is taken, with its columns."""
     rules = plan_mix(cut(sized_documents(docs)), weights, share_pct, top)
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
-    return (copies(whole, rules).filter(F.col("copies") > 0)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*"))
+    # no filter: it would be pushed below the words' count and count them once more
+    return copies(whole, rules).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
