@@ -219,9 +219,9 @@ def op7_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op7_block_top_k": op7_block_top_k}
 ORACLES = {"op7_block_top_k": f"""
-WITH parts AS (SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+WITH parts AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
            FROM parts q JOIN parts c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
