@@ -21,14 +21,14 @@ def resample_cfr(frames: DataFrame, step_us: float | None = None, target_fps: fl
     """Constant-rate output ticks per clip.
 
     A tick lies between its left and right neighbour; each frame emits the ticks it is the left
-    neighbour of, so no tick grid is joined. ``frame_no`` is the position in time order. Columns:
+    neighbour of, so no tick grid is joined. ``frame_no`` orders the frames in time and may have holes. Columns:
     source_no (frame shown, or left frame of a generated one), t, generated.
     """
     step = float(step_us) if step_us else 1_000_000.0 / float(target_fps)
     if not step > 0:
         raise ValueError("the output step must be positive")
     base = frames.select("clip_id", "frame_no", "pts_us", "dur_us")
-    base = neighbours(base, CLIP, lead={"_next": "pts_us"}, rows=rows)
+    base = neighbours(base, CLIP, lead={"_next": "pts_us", "_next_no": "frame_no"}, rows=rows)
     base = key_totals(base, CLIP, {"_first": ("first", F.col("pts_us"))}, rows=rows)
     start = F.ceil((F.col("pts_us") - 0.5 - F.col("_first")) / step)
     # The last tick of a pair is the largest one more than half a microsecond before the next frame.
@@ -41,7 +41,7 @@ def resample_cfr(frames: DataFrame, step_us: float | None = None, target_fps: fl
     left = exact | (F.col("t") < 0.5) | F.lit(interpolate)
     inner = inner.select(
         "clip_id", "tick_no", js_round(tau).cast("bigint").alias("pts_us"),
-        F.when(left, F.col("frame_no")).otherwise(F.col("frame_no") + 1).alias("source_no"),
+        F.when(left, F.col("frame_no")).otherwise(F.col("_next_no")).alias("source_no"),
         "t", (F.lit(interpolate) & ~exact).alias("generated"))
     last = base.where("_next is null").withColumn("tick_no", start.cast("bigint"))
     tau = F.col("_first") + F.col("tick_no") * step

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.operators import audio, motion, ordered, planes, retime, storage, timeline
@@ -65,6 +66,34 @@ def test_lost_frames_do_not_matter_either(frames, name):
     assert rows_of(OPERATORS[name](holes, 16)) == rows_of(OPERATORS[name](holes, 1_000_000))
 
 
+def lost(frames):
+    """Frames in time order, numbered with holes."""
+    placed = timeline.ordered_timeline(frames, 5000).drop("frame_no").withColumnRenamed("order_no", "frame_no")
+    return placed.where("frame_no % 16 <> 15 and (frame_no < 100 or frame_no > 140)")
+
+
+@pytest.mark.parametrize("name", ["resample", "shutter"])
+def test_lost_frames_do_not_matter_to_ticks(frames, name):
+    run = {"resample": lambda f, n: retime.resample_cfr(f, step_us=730, rows=n),
+           "shutter": lambda f, n: retime.shutter_window(f, 1000, 2500, 1.2, scene="scene", rows=n)}[name]
+    holes = lost(frames.withColumn("scene", F.floor(F.col("pts_us") / 100_000)))
+    assert rows_of(run(holes, 16)) == rows_of(run(holes, 1_000_000))
+
+
+@pytest.mark.parametrize("interpolate", [False, True])
+def test_resampling_shows_only_frames_that_exist(frames, interpolate):
+    """The same ticks as with dense numbers, each from the frame at that place, and all of them get a plane."""
+    holes = lost(frames).cache()
+    dense = holes.withColumn("place", F.row_number().over(Window.partitionBy("clip_id").orderBy("frame_no")))
+    got = retime.resample_cfr(holes, step_us=730, interpolate=interpolate, rows=16)
+    want = retime.resample_cfr(dense.drop("frame_no").withColumnRenamed("place", "frame_no"), step_us=730, interpolate=interpolate)
+    want = (want.withColumnRenamed("source_no", "place").join(dense.select("clip_id", "place", F.col("frame_no").alias("source_no")), ["clip_id", "place"])
+            .select(*got.columns))
+    assert rows_of(got) == rows_of(want)
+    planed = holes.select("clip_id", "frame_no", F.array(F.lit(1), F.lit(2)).alias("luma"))
+    assert planes.interpolate_vectors(planed, got, guard=False).count() == got.count()
+
+
 @pytest.mark.parametrize("back,ahead", [(1, 0), (0, 1), (3, 2), (20, 5)])
 def test_halo_holds_the_rows_looked_at(spark, back, ahead):
     rng = random.Random(back + ahead)
