@@ -12,15 +12,16 @@ from framelake.plans.timeline_queries import GAPS_SQL, HYSTERESIS_SQL, MISSING_S
 from framelake.streaming import streams as sm
 
 STEP = b.NOMINAL_STEP_US
-#: Part files that one trigger takes at most, which bounds what a trigger holds.
-FILES_PER_TRIGGER = 64
 
 
 def _source(spark, sf_dir, name):
-    """One table as a file stream with the table's own schema: one file, or a folder of part files."""
+    """One table as a file stream with the table's own schema: one file, or a folder of part files.
+
+    All files make one trigger: part files are in no order of time, and a later trigger would find its rows behind the watermark.
+    """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = spark.readStream.schema(b.table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    stream = spark.readStream.schema(b.table(spark, sf_dir, name).schema)
     if files.getFileStatus(path).isDirectory():
         return stream.parquet(f"{sf_dir}/{name}.parquet")
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
