@@ -2,17 +2,20 @@
 
 Tokens are words (A-Z lower-cased) and one end per text. The model is P(class | class before) * P(word | class):
 
-* *Units.* The ``FREQUENT`` most frequent words are units of their own; all other words, also unseen ones, belong to one
-  of ``SUFFIXES`` units by a hash of their last three bytes. So every word has a class without a lookup in the corpus.
-* *Exchange clustering.* Bigrams of units are counted over all training text. Units move one by one to the class
-  that raises the likelihood of the class bigrams most, until no unit moves or ``ROUNDS`` rounds are over. This works on
-  a table of fixed size (units squared), the only thing that the driver holds besides the ``LEXICON`` commonest words.
+* *Seed.* The ``FREQUENT`` most frequent words are units, all others share ``SUFFIXES`` units by a hash of their last three
+  bytes. Bigrams of units are counted over all training text and units move one by one to the class that raises the
+  likelihood most, until none moves or ``ROUNDS`` rounds are over: a table of fixed size, on the driver.
+* *Exchange of all words.* Every word of the training text is then a unit of its own. One pass counts, per word, the seed classes
+  before and behind it (a sparse row of the table of words by classes, which grows with the corpus and stays in Spark). In
+  ``EXCHANGES`` rounds each word but the frequent ones, which moved already, goes to the class that fits its row best, judged by the
+  broadcast class totals without the word; a round that does not raise the likelihood ends them.
+  Only words never seen in training have the class of their ending.
 * *Smoothing.* A transition is (n(c', c) + K * P(c)) / (n(c') + K); a word is (n(w) + 0.5) / (n(c) + 0.5 * (types(c) + 1)), so
   each class keeps mass for a word it never saw.
 
-Word counts come from all training text by partial sums. Scoring reads each text once: the commonest words are looked
-up in the task, the remaining ones of a text are joined with the counts by a 64-bit hash of the word, one row per
-text and distinct word. No word is hot there, as the hot ones are in the lexicon.
+Transitions and scores are read from the words' own classes: the ``LEXICON`` commonest words are looked up in the task, and each pair of
+neighbours with another word becomes a row that is joined with the classes by the 64-bit hashes of both words. No word is hot
+there, as the hot ones are in the lexicon.
 
 Null and empty texts are the end token alone; null ids count as empty text for the split. Rows that repeat are
 scored one by one. Only ``doc_id`` and ``text`` are read. Without training rows every probability is that of the
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,9 @@ END = UNITS - 1
 CLASSES = 64
 LEXICON = 1 << 18
 ROUNDS = 8
+EXCHANGES = 3
+#: Classes before a word and behind it.
+CONTEXTS = 2 * (CLASSES + 1)
 K = 8.0
 #: Words that a task counts before it sends their counts on.
 SEND_WORDS = 1_000_000
@@ -68,30 +75,25 @@ def _units(words: Words, top: np.ndarray, top_unit: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """hash, unit (by suffix) and n of every distinct word of ``text``."""
+    """hash and n of every distinct word of ``text``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
-        units: list[np.ndarray] = []
 
         def send() -> pa.RecordBatch:
-            flat, unit = np.concatenate(hashes), np.concatenate(units)
-            word, where, n = np.unique(flat, return_index=True, return_counts=True)
-            hashes.clear(), units.clear()
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(unit[where].astype(np.int32)), pa.array(n)],
-                                              ["hash", "unit", "n"])
+            word, n = np.unique(np.concatenate(hashes), return_counts=True)
+            hashes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["hash", "n"])
 
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                words = Words(texts)
-                hashes.append(words.hash)
-                units.append(_suffix(words))
+                hashes.append(Words(texts).hash)
                 if sum(map(len, hashes)) >= SEND_WORDS:
                     yield send()
         if hashes:
             yield send()
 
-    return (docs.select(F.col("text").cast("string")).mapInArrow(rows, "hash long, unit int, n long")
-            .groupBy("hash").agg(F.first("unit").alias("unit"), F.sum("n").alias("n")))
+    return (docs.select(F.col("text").cast("string")).mapInArrow(rows, "hash long, n long")
+            .groupBy("hash").agg(F.sum("n").alias("n")))
 
 
 def _tokens(words: Words, unit: np.ndarray) -> np.ndarray:
@@ -170,122 +172,289 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+def word_contexts(docs: DataFrame, top: np.ndarray, top_unit: np.ndarray, of: np.ndarray) -> DataFrame:
+    """Per word its hash, its seed class, and how often each seed class stands before it (0..) and behind it (CLASSES + 1..)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> pa.RecordBatch:
+            hashes, seed, before, after = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            word, where, at = np.unique(hashes, return_index=True, return_inverse=True)
+            pair, n = np.unique(np.concatenate([at * CONTEXTS + before, at * CONTEXTS + CLASSES + 1 + after]), return_counts=True)
+            return pa.RecordBatch.from_arrays([
+                pa.array(word[pair // CONTEXTS].view(np.int64)), pa.array(seed[where[pair // CONTEXTS]].astype(np.int32)),
+                pa.array((pair % CONTEXTS).astype(np.int32)), pa.array(n)], ["hash", "seed", "context", "n"])
+
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                words = Words(texts)
+                unit = _units(words, top, top_unit)
+                token = of[_tokens(words, unit)]
+                at = np.arange(len(unit)) + words.owner()
+                kept.append((words.hash, of[unit], np.concatenate([[CLASSES], token[:-1]])[at], token[at + 1]))
+                if sum(len(k[0]) for k in kept) >= SEND_WORDS:
+                    yield send()
+        if kept:
+            yield send()
+
+    sums = (docs.select(F.col("text").cast("string")).mapInArrow(rows, "hash long, seed int, context int, n long").repartition("hash")
+            .groupBy("hash", "context").agg(F.first("seed").alias("seed"), F.sum("n").alias("n")))
+    return sums.groupBy("hash").agg(F.first("seed").alias("seed"), F.collect_list("context").alias("contexts"), F.collect_list("n").alias("times"))
+
+
+def _best(hashes: np.ndarray, of: np.ndarray, fixed: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class that fits each word best, given the counts of classes by contexts with the words in their classes ``of``.
+
+    Words move at the same time: where classes fit as well as each other, empty ones above all, each word has an order of its own.
+    """
+    out, total = of.copy(), table.reshape(CLASSES, 2, -1).sum(axis=2)
+    first = np.searchsorted(word, np.arange(len(of) + 1))
+    for a in range(0, len(of), 4096):
+        b = min(len(of), a + 4096)
+        mine = slice(first[a], first[b])
+        whose, k = word[mine] - a, n[mine, None].astype(np.float64)
+        begin, old = first[a:b] - first[a], of[a:b]
+        held = table[:, context[mine]].T.copy()
+        held[np.arange(len(held)), old[whose]] -= k[:, 0]
+        gain = np.add.reduceat(_xlogx(held + k) - _xlogx(held), begin)
+        size = np.add.reduceat(k, begin) / 2  # as many neighbours before as behind
+        for side in (0, 1):
+            rest = np.tile(total[:, side], (b - a, 1))
+            rest[np.arange(b - a), old] -= size[:, 0]
+            gain -= _xlogx(rest + size) - _xlogx(rest)
+        order = mix64(hashes[a:b, None] + np.arange(1, CLASSES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+        new = np.where(gain >= gain.max(axis=1, keepdims=True) - 1e-6, order.astype(np.int64), -1).argmax(axis=1)
+        at = np.arange(b - a)
+        out[a:b] = np.where(fixed[a:b] | (gain[at, new] <= gain[at, old] + 1e-6), old, new)
+    return out
+
+
+def _classed(batch: pa.RecordBatch, top: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(hash, class after the rounds of ``tables``, place in the batch, context, times) of a batch of words."""
+    hashes = batch.column("hash").to_numpy()
+    of = batch.column("seed").to_numpy().astype(np.int64)
+    contexts, times = batch.column("contexts"), batch.column("times")
+    word = np.repeat(np.arange(len(of)), pc.list_value_length(contexts).to_numpy())
+    context, n = contexts.flatten().to_numpy(), times.flatten().to_numpy()
+    fixed = np.isin(hashes.view(np.uint64), top)
+    for table in tables:
+        of = _best(hashes.view(np.uint64), of, fixed, word, context, n, table)
+    return hashes, of, word, context, n
+
+
+def exchange_words(contexts: DataFrame, top: np.ndarray) -> DataFrame:
+    """hash, class and n of every word, after the exchange of all words."""
+    def totals(tables: list[np.ndarray]) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(CLASSES * CONTEXTS, np.int64)
+            for batch in batches:
+                _, of, word, context, n = _classed(batch, top, tables)
+                np.add.at(table, of[word] * CONTEXTS + context, n)
+            yield from packed_sums.packed(table, "<i8", CLASSES * CONTEXTS)
+
+        rows = contexts.mapInArrow(count, packed_sums.SCHEMA)
+        return packed_sums.total(rows, CLASSES * CONTEXTS, "<i8", CLASSES * CONTEXTS).reshape(CLASSES, CONTEXTS).astype(np.float64)
+
+    def likelihood(table: np.ndarray) -> float:
+        return _xlogx(table).sum() - _xlogx(table.reshape(CLASSES, 2, -1).sum(axis=2)).sum()
+
+    tables: list[np.ndarray] = []
+    now = totals(tables)
+    for _ in range(EXCHANGES):
+        then = totals([*tables, now])
+        if likelihood(then) <= likelihood(now):
+            break
+        tables, now = [*tables, now], then
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, of, word, context, n = _classed(batch, top, tables)
+            before = np.bincount(word, weights=n * (context <= CLASSES), minlength=len(of)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(of.astype(np.int32)), pa.array(before)], ["hash", "class", "n"])
+
+    return cut(contexts.mapInArrow(rows, "hash long, class int, n long"))
+
+
+class Lexicon:
+    """The commonest words with count and class, and the classes of endings for words never seen. Its size is fixed by the constants."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, classes: np.ndarray, top: np.ndarray, top_unit: np.ndarray, of: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.n, self.classes = hashes[order], n[order], classes[order].astype(np.int64)
+        self.top, self.top_unit, self.of = top, top_unit, of
+
+    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a word is held, its place, its class or else that of its ending)."""
+        hit, at = np.zeros(len(words.hash), bool), np.zeros(len(words.hash), np.int64)
+        of = self.of[_suffix(words)]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
+            hit = self.hashes[at] == words.hash
+            of[hit] = self.classes[at[hit]]
+        return hit, at, of
+
+    @staticmethod
+    def pairs(words: Words, hit: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Neighbours with ends: (text, held by the lexicon, word before, its class, word, its class, rare); words are 0 where the class is final."""
+        end = words.first[1:]
+        code = np.insert(np.where(hit, np.uint64(0), words.hash), end, np.uint64(0))
+        rare, token = np.insert(~hit, end, False), np.insert(of, end, CLASSES)
+        text = np.repeat(np.arange(len(end)), words.counts() + 1)
+        before, was = np.concatenate([np.zeros(1, np.uint64), code[:-1]]), np.concatenate([[CLASSES], token[:-1]])
+        return text, ~(rare | np.concatenate([[False], rare[:-1]])), before, was, code, token, rare
+
+
+def _apart(code: np.ndarray, final: np.ndarray, start: int) -> pa.Array:
+    """Join keys; rows whose class is final get keys of their own, which match no word and are spread."""
+    own = mix64(np.arange(start, start + len(code), dtype=np.uint64) ^ np.uint64(0x5DEECE66D1234567))
+    return pa.array(np.where(final, own, code).view(np.int64))
+
+
+_PAIR = "before long, was int, hash long, token int, rare boolean, times long"
+
+
+def _with_classes(pairs: DataFrame, classed: DataFrame) -> DataFrame:
+    """Adds the final classes ``c`` (before) and ``d`` of rows of _PAIR, and the training count ``n`` of the word."""
+    first = classed.select(F.col("hash").alias("before"), F.col("class").alias("c"))
+    second = classed.select("hash", F.col("class").alias("d"), "n")
+    return (pairs.join(first, "before", "left").join(second, "hash", "left")
+            .withColumn("c", F.coalesce("c", "was")).withColumn("d", F.coalesce("d", "token")))
+
+
+def class_bigrams(docs: DataFrame, lexicon: Lexicon, classed: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes over all texts."""
+    size = CLASSES + 1
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = TaskContext.get().partitionId() << 40
+        table = np.zeros(size * size, np.int64)
+
+        def made(before, was, code, token, times):
+            nonlocal start
+            keys = [_apart(before, before == 0, start), _apart(code, code == 0, start + len(code))]
+            start += 2 * len(code)
+            return pa.RecordBatch.from_arrays([keys[0], pa.array(was.astype(np.int32)), keys[1], pa.array(token.astype(np.int32)),
+                                               pa.array(code != 0), pa.array(times)], [c.split()[0] for c in _PAIR.split(", ")])
+
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                words = Words(texts)
+                hit, _, of = sent.value.look_up(words)
+                _, held, before, was, code, token, _ = Lexicon.pairs(words, hit, of)
+                table += np.bincount(was[held] * size + token[held], minlength=size * size)
+                if not held.all():
+                    yield made(before[~held], was[~held], code[~held], token[~held], np.ones(int((~held).sum()), np.int64))
+        at = np.flatnonzero(table)
+        none = np.zeros(len(at), np.uint64)
+        yield made(none, at // size, none, at % size, table[at])
+
+    pairs = docs.select(F.col("text").cast("string")).mapInArrow(rows, _PAIR)
+    out = np.zeros((size, size))
+    for row in _with_classes(pairs, classed).groupBy("c", "d").agg(F.sum("times").alias("times")).collect():
+        out[row["c"], row["d"]] = row["times"]
+    return out
+
+
 class ClassModel:
-    """What scoring needs: units, classes, transitions and the commonest words. Its size is fixed by the constants."""
+    """What scoring needs: lexicon, classes and transitions."""
 
-    def __init__(self, lexicon: np.ndarray, lexicon_n: np.ndarray, top: np.ndarray, top_unit: np.ndarray, of: np.ndarray,
-                 bigrams: np.ndarray, class_n: np.ndarray, class_types: np.ndarray, tokens: int, types: int, texts: int):
-        self.lexicon, self.lexicon_n, self.top, self.top_unit, self.of = lexicon, lexicon_n, top, top_unit, of
+    def __init__(self, lexicon: Lexicon, table: np.ndarray, class_n: np.ndarray, class_types: np.ndarray, tokens: int, types: int, texts: int):
+        self.lexicon, self.top, self.top_unit, self.of = lexicon, lexicon.top, lexicon.top_unit, lexicon.of
         self.tokens, self.types, self.texts = tokens, types, texts
-        size = CLASSES + 1
-        member = np.zeros((UNITS, size))
-        member[np.arange(UNITS), of] = 1
-        table = member.T @ bigrams.astype(np.float64) @ member
-        share = (table.sum(axis=0) + 1) / (table.sum() + size)
+        share = (table.sum(axis=0) + 1) / (table.sum() + CLASSES + 1)
         self.log_transition = np.log10((table + K * share) / (table.sum(axis=1, keepdims=True) + K))
         self.log_base = np.log10(tokens + 0.5 * (types + 1))
         self.log_class = np.log10(class_n + 0.5 * (class_types + 1))
 
-    def score(self, texts: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per text (tokens, known, base, score) without the words outside the lexicon, and these as (text, hash, times)."""
+    def score(self, texts: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+        """Per text (tokens, known, base, score) without what words outside the lexicon add, and their pairs (text, before, was, word, token, rare)."""
         words = Words(texts)
         texts_n = len(words.first) - 1
         owner = words.owner()
-        unit = _units(words, self.top, self.top_unit)
-        token = self.of[_tokens(words, unit)]
-        steps = self.log_transition[np.concatenate([[CLASSES], token[:-1]]), token]
-        whose = np.repeat(np.arange(texts_n), words.counts() + 1)
+        hit, at, of = self.lexicon.look_up(words)
+        text, held, before, was, code, token, rare = Lexicon.pairs(words, hit, of)
         base = np.bincount(owner, minlength=texts_n) * -self.log_base
         base += np.log10(self.texts + 0.5) - self.log_base
-        score = np.bincount(whose, weights=steps, minlength=texts_n)
-        score -= np.bincount(owner, weights=self.log_class[self.of[unit]], minlength=texts_n)
+        score = np.zeros(texts_n)
+        score += np.bincount(text[held], weights=self.log_transition[was[held], token[held]], minlength=texts_n)
+        score -= np.bincount(owner[hit], weights=self.log_class[of[hit]], minlength=texts_n)
         known = np.full(texts_n, int(self.texts > 0), np.int64)
-        hit = np.zeros(len(words.hash), bool)
-        if len(self.lexicon):
-            at = np.minimum(np.searchsorted(self.lexicon, words.hash), len(self.lexicon) - 1)
-            hit = self.lexicon[at] == words.hash
-            seen = np.bincount(owner[hit], weights=np.log10(self.lexicon_n[at[hit]] + 0.5), minlength=texts_n)
+        if hit.any():
+            seen = np.bincount(owner[hit], weights=np.log10(self.lexicon.n[at[hit]] + 0.5), minlength=texts_n)
             base, score = base + seen, score + seen
             known += np.bincount(owner[hit], minlength=texts_n)
-        who, what = owner[~hit], words.hash[~hit]
-        order = np.lexsort((what, who))
-        who, what = who[order], what[order]
-        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (what[1:] != what[:-1])]))
-        times = np.diff(np.append(begin, len(who)))
-        return [words.counts() + 1, known, base, score], (who[begin], what[begin], times)
+        return [words.counts() + 1, known, base, score], tuple(x[~held] for x in (text, before, was, code, token, rare))
 
 
 def fit(train: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of the texts of ``train``, and the counts of all its words (hash, n)."""
-    counts = cut(word_counts(train))
+    """The model of the texts of ``train``, and hash, class and n of all its words."""
     texts = train.count()
-    by_unit = counts.groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
-    common = counts.orderBy(F.col("n").desc(), "hash").limit(LEXICON).toArrow()
-    words = common.column("hash").to_numpy().view(np.uint64)
-    n = common.column("n").to_numpy()
-    unit = common.column("unit").to_numpy()
-    order = np.lexsort((words, -n))[:FREQUENT]
-    order = order[np.argsort(words[order])]
-    top, top_unit = words[order], np.arange(len(order))
-    bigrams = unit_bigrams(train, top, top_unit)
-    of = exchange(bigrams)
+    common = word_counts(train).orderBy(F.col("n").desc(), "hash").limit(FREQUENT).toArrow()
+    top = np.sort(common.column("hash").to_numpy().view(np.uint64))
+    top_unit = np.arange(len(top))
+    of = exchange(unit_bigrams(train, top, top_unit))
+    classed = exchange_words(cut(word_contexts(train, top, top_unit, of)), top)
     class_n, class_types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for row in by_unit:
-        class_n[of[row["unit"]]] += row["n"]
-        class_types[of[row["unit"]]] += row["types"]
-    for own, suffix, k in zip(top_unit, unit[order], n[order], strict=True):  # frequent words left their suffix
-        class_n[of[suffix]] -= k
-        class_types[of[suffix]] -= 1
-        class_n[of[own]] += k
-        class_types[of[own]] += 1
-    tokens = sum(r["n"] for r in by_unit) + texts
-    types = sum(r["types"] for r in by_unit) + (texts > 0)
-    by_hash = np.argsort(words)
-    model = ClassModel(words[by_hash], n[by_hash], top, top_unit, of, bigrams, class_n, class_types, tokens, types, texts)
-    return model, counts.select("hash", "n")
+    for row in classed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        class_n[row["class"]], class_types[row["class"]] = row["n"], row["types"]
+    common = classed.orderBy(F.col("n").desc(), "hash").limit(LEXICON).toArrow()
+    lexicon = Lexicon(common.column("hash").to_numpy().view(np.uint64), common.column("n").to_numpy(), common.column("class").to_numpy(),
+                      top, top_unit, of)
+    table = class_bigrams(train, lexicon, classed)
+    tokens, types = int(class_n.sum()) + texts, int(class_types.sum()) + (texts > 0)
+    return ClassModel(lexicon, table, class_n, class_types, tokens, types, texts), classed
 
 
-_SCORED = "key long, hash long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORED = f"key long, {_PAIR}, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, model: ClassModel, classed: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score of every row of ``docs`` (doc_id, text, held_out)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 40
+        key = start = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                (size, known, base, score), (who, what, times) = sent.value.score(texts)
+                (size, known, base, score), (who, before, was, code, token, rare) = sent.value.score(texts)
                 keys = key + np.arange(len(size))
                 key += len(size)
-                rare, zero = len(who), np.zeros(len(who), np.int64)
-                nothing = np.zeros(rare)
-                # a text's own row matches no word: its times are 0
+                # a text's own row has times 0 and words that match none
+                own, more, nothing = np.zeros(len(size), np.int64), np.zeros(len(who), np.int64), np.zeros(len(who))
+                before, code = np.concatenate([own.astype(np.uint64), before]), np.concatenate([own.astype(np.uint64), code])
+                first, second = _apart(before, before == 0, start), _apart(code, code == 0, start + len(code))
+                start += 2 * len(code)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([keys, keys[who]])),
-                    pa.array(np.concatenate([mix64(keys.astype(np.uint64)), what]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(size), np.int64), times])),
-                    pa.concat_arrays([part.column("doc_id"), pa.nulls(rare, pa.int64())]),
-                    pa.concat_arrays([part.column("held_out"), pa.nulls(rare, pa.bool_())]),
-                    pa.array(np.concatenate([size, zero])), pa.array(np.concatenate([known, zero])),
+                    first, pa.array(np.concatenate([own, was]).astype(np.int32)), second, pa.array(np.concatenate([own, token]).astype(np.int32)),
+                    pa.array(np.concatenate([own > 0, rare])), pa.array(np.concatenate([own, more + 1])),
+                    pa.concat_arrays([part.column("doc_id"), pa.nulls(len(who), pa.int64())]),
+                    pa.concat_arrays([part.column("held_out"), pa.nulls(len(who), pa.bool_())]),
+                    pa.array(np.concatenate([size, more])), pa.array(np.concatenate([known, more])),
                     pa.array(np.concatenate([base, nothing])), pa.array(np.concatenate([score, nothing]))],
                     [c.split()[0] for c in _SCORED.split(", ")])
 
+    steps = docs.sparkSession.createDataFrame(
+        [(c, d, float(model.log_transition[c, d]), float(model.log_class[d])) for c in range(CLASSES + 1) for d in range(CLASSES + 1)],
+        "c int, d int, step double, size double")
     parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out").mapInArrow(rows, _SCORED)
-    found = parts.join(counts, "hash", "left")
-    more = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
+    found = _with_classes(parts, classed).join(F.broadcast(steps), ["c", "d"])
+    word = F.when(F.col("rare"), F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).otherwise(0.0)
+    emitted = word - F.when(F.col("rare"), F.col("size")).otherwise(0.0)
     return (found.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + more).alias("base_score"), F.sum(F.col("score") + more).alias("score")).drop("key"))
+        F.sum(F.col("n_known") + F.when(F.col("rare") & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base_score") + F.col("times") * word).alias("base_score"),
+        F.sum(F.col("score") + F.col("times") * (F.col("step") + emitted)).alias("score")).drop("key"))
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of four fifths of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_back(F.col("doc_id"), 1).alias("held_out"))
-    model, counts = fit(docs.filter(~F.col("held_out")))
-    return score_documents(docs, model, counts).select(
+    model, classed = fit(docs.filter(~F.col("held_out")))
+    return score_documents(docs, model, classed).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

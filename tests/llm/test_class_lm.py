@@ -98,3 +98,22 @@ def test_edges(spark):
     none = docs.limit(0)
     model, counts = class_lm.fit(none)
     assert class_lm.score_documents(none, model, counts).count() == 0
+
+
+def test_rare_words_have_classes_of_their_own(spark, monkeypatch):
+    """Words beyond the frequent ones with one ending but two kinds of neighbours are not forced into one class."""
+    rng = np.random.default_rng(4)
+    nouns, verbs = [f"n{k}ing" for k in range(40)], [f"v{k}ing" for k in range(40)]
+    texts = [" ".join(w for _ in range(30) for w in ("the", rng.choice(nouns), "will", rng.choice(verbs))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(class_lm, "FREQUENT", 2)
+    _, classed = class_lm.fit(docs)
+    of = {r["hash"]: r["class"] for r in classed.collect()}
+    assert len(of) == 82
+
+    def classes(names):
+        return Counter(of[int(h)] for h in class_lm.Words(pa.array(names, pa.large_string())).hash.view(np.int64))
+
+    mine, others = classes(nouns), classes(verbs)
+    # words move at the same time, so a few may meet in a class that was empty before
+    assert sum(max(mine[c], others[c]) for c in mine | others) >= 72
