@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import pixels
 from framelake.functions.mathx import clamp_zero, js_round, smoothstep
+from framelake.operators import scans
 from framelake.operators.ordered import (
     HOME, SEG, SEGMENT_ROWS, local_window, neighbours, running, upper_median, with_halo,
 )
@@ -135,6 +136,59 @@ def temporal_blend_plan(frames: DataFrame, denoise: float = 0, anti_flicker: flo
             .drop("_mean", "_prev", "_prev_mean"))
 
 
+BLEND_ROWS = 512
+#: below these the canvas is left as it is
+LEAST_BLEND, LEAST_CORRECTION, MOST_CORRECTION = 0.001, 0.002, 0.08
+
+
+def temporal_blend_planes(frames: DataFrame, denoise: float = 0, anti_flicker: float = 0, stability: float = 0,
+                          scene_threshold: float = 0.22, plane: str = "luma", rows: int = BLEND_ROWS, fan: int = 64) -> DataFrame:
+    """The plan's frames with their exposure corrected and blended over the blended frame before: ``blended`` per frame.
+
+    A correction lays white or black over the plane. Every frame is then y = (1 - blend) x + blend y_before, an affine map of
+    the plane before it with one factor, so segments compose (see ``scans``); a frame without blend forgets all before it, and a change of
+    the plane's size or a null plane differs so much that the plan has no blend there. Values keep their fractions; null planes stay null.
+    """
+    planned = temporal_blend_plan(frames, denoise, anti_flicker, stability, scene_threshold, plane, rows)
+    shift = F.col("exposure_correction") - 1
+    veil = F.when(F.abs(shift) > LEAST_CORRECTION, F.signum(shift) * F.least(F.lit(MOST_CORRECTION), F.abs(shift))).otherwise(0.0)
+    steps = planned.select("clip_id", "frame_no", F.col(plane).cast("array<double>").alias("plane"), veil.alias("veil"),
+                           F.when(F.col("blend") > LEAST_BLEND, F.col("blend")).otherwise(0.0).alias("mix"))
+
+    def stepped(batch: pa.RecordBatch):
+        for x, veil, mix in zip(batch.column("plane"), batch.column("veil").to_pylist(), batch.column("mix").to_pylist()):
+            if x.is_valid:
+                values = x.values.to_numpy(zero_copy_only=False)
+                values = values * (1 - abs(veil)) + (255 * veil if veil > 0 else 0)
+                yield values, mix
+            else:
+                yield np.zeros(0), 0.0
+
+    def summarise(batches, prefix):
+        factor, offset = 1.0, np.zeros(0)
+        for batch in batches:
+            for x, mix in stepped(batch):
+                before = offset if len(offset) else 0.0
+                factor, offset = (factor * mix, (1 - mix) * x + mix * before) if mix else (0.0, x)
+        return scans.affine(factor, offset)
+
+    def walk(batches, prefix):
+        last = scans.read_affine(prefix)[1] if prefix else np.zeros(0)
+        for batch in batches:
+            done = []
+            for x, mix in stepped(batch):
+                last = (1 - mix) * x + mix * last if mix else x
+                done.append(last)
+            sizes = np.cumsum([0] + [len(d) for d in done])
+            kept = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(done)), mask=batch.column("plane").is_null())
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame_no"), kept], ["clip_id", "frame_no", "blended"])
+
+    kinds = dict(steps.dtypes)
+    done = scans.scan(steps, CLIP, "frame_no", summarise, scans.compose_affine, walk,
+                      f"clip_id {kinds['clip_id']}, frame_no {kinds['frame_no']}, blended array<double>", rows, fan)
+    return planned.drop(plane).join(done, ["clip_id", "frame_no"])
+
+
 # ---- interpolation ------------------------------------------------------------------------
 
 def artifact_guard(a, b, c) -> Column:

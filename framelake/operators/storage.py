@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.text import node_key
-from framelake.operators.chained import chained_fold
-from framelake.operators.ordered import SEGMENT_ROWS, key_totals, number_rows, running
+from framelake.operators import scans, stacks
+from framelake.operators.ordered import SEG, SEGMENT_ROWS, key_totals, number_rows, running, segment_of
 
 DAY_US = 86_400_000_000
 MIB = 1024 * 1024
@@ -172,29 +172,83 @@ def verify_artifacts(files: DataFrame, manifest: DataFrame | None = None) -> Dat
 
 # ---- lineage ------------------------------------------------------------------------------
 
-def lineage_stack(events: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Current stack of applied stages per session from apply, adopt, rewind, undo and clear events.
+LINEAGE_ROWS = 4096
 
-    Rewind cuts the stack at the first entry of the stage. Sessions of any length are folded
-    segment by segment (see ``chained``); only each segment's end stack is written.
+
+def lineage_entries(events: DataFrame, rows: int = LINEAGE_ROWS, fan: int = scans.FAN) -> DataFrame:
+    """Entries of each session's stack of applied stages: ``level`` from 0, ``stage_id``.
+
+    Events are apply, adopt, rewind (cuts the stack at the first entry of its stage), undo and clear; others change nothing. A segment is
+    summed up as its effect on any stack, effects are composed over the segments before (see ``stacks``, ``scans``), and each segment then
+    gives those of its own entries that no later segment reaches down to. So a stack of any height comes from many tasks.
     """
-    def fold(pdf: pd.DataFrame, start: str | None):
-        stack = json.loads(start) if start else []
-        for action, stage in zip(pdf["action"], pdf["stage_id"]):
-            if action in ("apply", "adopt"):
-                stack.append(stage)
-            elif action == "undo":
-                stack = stack[:-1]
-            elif action == "clear":
-                stack = []
-            elif action == "rewind" and stage in stack:
-                stack = stack[:stack.index(stage)]
-        out = pd.DataFrame([(pdf["session_id"].iloc[0], pdf["seq"].iloc[-1], list(stack))], columns=["session_id", "seq", "stack"])
-        return out, json.dumps(stack)
-
-    ends = chained_fold(events.select("session_id", "seq", "action", "stage_id"), ["session_id"], "seq", ["seq"], fold,
-                        "session_id bigint, seq bigint, stack array<string>", rows)
-    return (ends.groupBy("session_id").agg(F.max("seq").alias("last_seq"), F.max_by("stack", "seq").alias("stack"))
+    steps = events.select("session_id", "seq", "action", "stage_id").withColumn(SEG, segment_of("seq", rows))
+    group = ["session_id", SEG]
+
+    def rows_of(batches):
+        for batch in batches:
+            yield list(zip(batch.column("action").to_pylist(), batch.column("stage_id").to_pylist()))
+
+    def summarise(batches, prefix):
+        whole = None
+        for part in rows_of(batches):
+            one = stacks.effect(part)
+            whole = one if whole is None else stacks.then(whole, one)
+        return stacks.packed(whole)
+
+    maps = scans.summaries(steps, group, ["seq"], summarise)
+    before = scans.prefixes(maps, ["session_id"], stacks.compose, fan)
+
+    def landed(batches):
+        for batch in batches:
+            kept, start = [], []
+            for prefix, own in zip(batch.column(scans.PREFIX).to_pylist(), batch.column(scans.MAP).to_pylist()):
+                _, height, first = stacks.land(stacks.read(prefix), 0, {}) if prefix else (0, 0, {})
+                kept.append(stacks.land(stacks.read(own), height, first)[0])
+                start.append(json.dumps([height, list(first.items())]))
+            yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column(SEG), pa.array(kept, pa.int64()), pa.array(start)],
+                                             ["session_id", SEG, "_kept", "_start"])
+
+    key = dict(steps.dtypes)["session_id"]
+    met = maps.join(before, group, "left").select(*group, scans.PREFIX, scans.MAP).mapInArrow(
+        landed, f"session_id {key}, {SEG} bigint, _kept bigint, _start string")
+    later = Window.partitionBy("session_id").orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = met.select(*group, F.concat_ws("|", F.coalesce(F.min("_kept").over(later), F.lit(stacks.ALL)), "_start").cast("binary").alias(scans.PREFIX))
+
+    def walk(batches, prefix):
+        limit, _, start = prefix.decode().partition("|")
+        below, first = json.loads(start)
+        first = {s: i for s, i in first}
+        tail, session = stacks.Tail(), None
+        for batch in batches:
+            session = batch.column("session_id").slice(0, 1)
+            for action, stage in zip(batch.column("action").to_pylist(), batch.column("stage_id").to_pylist()):
+                if action in ("apply", "adopt"):
+                    tail.push(stage)
+                elif action == "undo" and tail.entries:
+                    tail.cut(len(tail.entries) - 1)
+                elif action == "undo":
+                    below = max(0, below - 1)
+                elif action == "clear":
+                    tail, below = stacks.Tail(), 0
+                elif action == "rewind" and first.get(stage, below) < below:
+                    tail, below = stacks.Tail(), first[stage]
+                elif action == "rewind" and tail.find(stage) is not None:
+                    tail.cut(tail.find(stage))
+        stays = tail.entries[:max(0, int(limit) - below)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([session] * len(stays)) if stays else session.slice(1),
+                                          pa.array(range(below, below + len(stays)), pa.int64()), pa.array(stays, pa.string())],
+                                         ["session_id", "level", "stage_id"])
+
+    return scans.fold_segments(steps, starts, group, ["seq"], walk, f"session_id {key}, level bigint, stage_id string")
+
+
+def lineage_stack(events: DataFrame, rows: int = LINEAGE_ROWS, fan: int = scans.FAN) -> DataFrame:
+    """Current stack of applied stages per session as one array, with its depth and the session's last event; see ``lineage_entries``."""
+    last = events.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
+    whole = lineage_entries(events, rows, fan).groupBy("session_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "stage_id"))), lambda e: e["stage_id"]).alias("stack"))
+    return (last.join(whole, "session_id", "left").withColumn("stack", F.coalesce("stack", F.array().cast("array<string>")))
             .withColumn("depth", F.size("stack")))
 
 

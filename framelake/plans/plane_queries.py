@@ -89,6 +89,37 @@ def temporal_blend_plan(spark, sf_dir):
     return rounded(out.select("clip_id", "frame_no", "difference", "cut", "blend", "detail_blend", "exposure_correction"))
 
 
+def faded(planes):
+    """Planes of low contrast: neighbours differ little enough to be blended."""
+    return planes.withColumn("luma", F.transform("luma", lambda v: (F.lit(110) + F.floor(v / 6)).cast("int")))
+
+
+# A frame at a time, each from the blended plane before it.
+BLENDED_SQL = b.sql("V", f"""W AS (SELECT clip_id, frame_no, list_transform(luma, lambda v: 110 + v // 6) AS luma FROM V),
+  pv AS (SELECT *, lag(luma) OVER (PARTITION BY clip_id ORDER BY frame_no) AS prv FROM W),
+  m AS (SELECT clip_id, frame_no, prv, luma, list_sum(luma) / (64 * 255.0) AS mean, list_sum(prv) / (64 * 255.0) AS pmean FROM pv),
+  d AS (SELECT *, CASE WHEN prv IS NULL THEN 0.0 ELSE {mad('luma', 'prv')} END AS df FROM m),
+  e AS (SELECT *, prv IS NOT NULL AND df < 0.024 AS act,
+    greatest(0.9 * 0.2 * (1 - {_smooth(0.012, 0.024, 'df')}), 1.0 * 0.42 * (1 - {_smooth(0.018, 0.024, 'df')})) AS bl,
+    least(1 + 0.08 * 0.8, greatest(1 - 0.08 * 0.8, 1 + (pmean / mean - 1) * 0.8)) - 1 AS sh FROM d),
+  st AS MATERIALIZED (SELECT clip_id, frame_no, CASE WHEN act AND bl > 0.001 THEN bl ELSE 0.0 END AS mix,
+    list_transform(luma, lambda v: CASE WHEN NOT act OR abs(sh) <= 0.002 THEN v WHEN sh > 0 THEN v * (1 - least(0.08, sh)) + 255 * least(0.08, sh)
+      ELSE v * (1 - least(0.08, -sh)) END::DOUBLE) AS x FROM e),
+  r AS (SELECT clip_id, frame_no, mix, x AS y FROM st WHERE frame_no = 0
+    UNION ALL SELECT st.clip_id, st.frame_no, st.mix, list_transform(list_zip(st.x, r.y), lambda z: (1 - st.mix) * z[1] + st.mix * z[2])
+    FROM r JOIN st ON st.clip_id = r.clip_id AND st.frame_no = r.frame_no + 1)
+SELECT clip_id, frame_no, round(mix, 6) AS mix, round(list_sum(list_transform(list_zip(range(1, 65), y), lambda z: z[1] * z[2])), 4) AS checksum
+FROM r""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("temporal_blend_planes", BLENDED_SQL)
+def temporal_blend_planes(spark, sf_dir):
+    out = pl.temporal_blend_planes(faded(b.planes(spark, sf_dir)), denoise=1.0, anti_flicker=0.8, stability=0.9, scene_threshold=0.024)
+    weighted = F.aggregate(F.transform("blended", lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v)
+    mix = F.when(F.col("blend") > pl.LEAST_BLEND, F.col("blend")).otherwise(0.0)
+    return out.select("clip_id", "frame_no", F.round(mix, 6).alias("mix"), F.round(weighted, 4).alias("checksum"))
+
+
 # Nearest end, linear blend, or rejection by the guard; quarter times come from a factor-4 plan.
 INTERPOLATE_SQL = f"""pr AS (SELECT clip_id, frame_no, luma AS a, lead(luma) OVER (PARTITION BY clip_id ORDER BY frame_no) AS c FROM V),
   g AS (SELECT *, unnest([0, 1, 2, 3]) AS slot FROM pr),
@@ -341,7 +372,7 @@ SAMPLES_SQL = """f AS (SELECT clip_id, block_no, unnest(samples) AS x, generate_
   n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY block_no, i) AS n FROM f)"""
 CHECKSUM_SQL = "SELECT clip_id, block_no, CAST(0 AS INT) AS channel, round(sum(y * i), 6) AS checksum FROM out GROUP BY clip_id, block_no"
 # 64 samples a second, one channel; a sample at a time.
-FILTER_SQL = b.sql("A", SAMPLES_SQL + """,
+FILTERED_SQL = SAMPLES_SQL + """,
   k AS (SELECT 1 / (1 + 2 * pi() * 70.0 / 64) AS a, 1 - exp(-2 * pi() * 64 * 0.48 / 64) AS b, pow(10.0, -20 / 20.0) AS gate,
     1 - exp(-1 / (64 * 0.006)) AS attack, 1 - exp(-1 / (64 * 0.09)) AS release),
   h AS (SELECT n.*, k.a * (x - 0.0) AS high, k.b * (k.a * (x - 0.0)) AS low FROM n, k WHERE n = 1
@@ -352,7 +383,8 @@ FILTER_SQL = b.sql("A", SAMPLES_SQL + """,
     UNION ALL SELECT h.clip_id, h.n, h.block_no, h.i, h.low, CASE WHEN abs(h.low) >= gate THEN (1 - attack) * g.level + attack
       ELSE (1 - release) * g.level + release * 0.82 END FROM g JOIN h ON h.clip_id = g.clip_id AND h.n = g.n + 1, k),
   out AS (SELECT *, low * level AS y FROM g)
-""" + CHECKSUM_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+"""
+FILTER_SQL = b.sql("A", FILTERED_SQL + CHECKSUM_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("audio_filter_chain", FILTER_SQL)

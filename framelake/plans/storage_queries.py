@@ -216,11 +216,20 @@ STACK_SQL = """ev AS (SELECT clip_id AS session_id, frame_no, CASE kind WHEN 'vi
      ELSE list_append(a, x) END, []::VARCHAR[]) AS stack FROM ls)"""
 
 
-@query("lineage_stack", b.sql("T", STACK_SQL + " SELECT session_id, last_seq, array_to_string(stack, ',') AS stack, CAST(len(stack) AS INT) AS depth FROM rd"))
-def lineage_stack(spark, sf_dir):
+def _lineage_events(spark, sf_dir):
     kind = F.col("kind")
     action = F.when(kind == "error", "undo").when(kind == "signup", "rewind").otherwise("apply")
     stage = F.when(kind == "view", "restore").when(kind == "purchase", "color").otherwise("detail")
-    events = b.timelines(spark, sf_dir).select(F.col("clip_id").alias("session_id"), F.col("frame_no").alias("seq"),
-                                               action.alias("action"), stage.alias("stage_id"))
-    return st.lineage_stack(events).withColumn("stack", F.concat_ws(",", "stack"))
+    return b.timelines(spark, sf_dir).select(F.col("clip_id").alias("session_id"), F.col("frame_no").alias("seq"),
+                                             action.alias("action"), stage.alias("stage_id"))
+
+
+@query("lineage_entries", b.sql("T", STACK_SQL + """
+SELECT session_id, unnest(range(len(stack))) AS level, unnest(stack) AS stage_id FROM rd"""))
+def lineage_entries(spark, sf_dir):
+    return st.lineage_entries(_lineage_events(spark, sf_dir))
+
+
+@query("lineage_stack", b.sql("T", STACK_SQL + " SELECT session_id, last_seq, array_to_string(stack, ',') AS stack, CAST(len(stack) AS INT) AS depth FROM rd"))
+def lineage_stack(spark, sf_dir):
+    return st.lineage_stack(_lineage_events(spark, sf_dir)).withColumn("stack", F.concat_ws(",", "stack"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.plans import bindings as b
-from framelake.plans.plane_queries import SCENE_SQL, mad, rounded
+from framelake.plans.plane_queries import FILTERED_SQL, SCENE_SQL, mad, rounded
 from framelake.plans.registry import query
 from framelake.plans.retime_queries import GRID_US, RESAMPLE_SQL
 from framelake.plans.timeline_queries import GAPS_SQL, HYSTERESIS_SQL, MISSING_SQL, PACING_SQL, STEPS_SQL
@@ -101,9 +101,26 @@ def stream_exact_duplicates(spark, sf_dir):
     return (sm.run_available(once, "exact").groupBy("clip_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("stream_audio")
+# The filtered samples of each block, then the gain block by block, then running totals.
+WANTED_SQL = "greatest(0.35, least(4.0, pow(10.0, -16 / 20.0) / greatest(x, 1e-6)))"
+STREAM_AUDIO_SQL = b.sql("A", FILTERED_SQL + f""",
+  bl AS (SELECT clip_id, block_no, list(y ORDER BY i) AS ys FROM out GROUP BY clip_id, block_no),
+  rm AS (SELECT *, sqrt(list_sum(list_transform(ys, lambda v: v * v)) / 64) AS rms FROM bl),
+  li AS (SELECT clip_id, list(rms ORDER BY block_no) AS rs FROM rm GROUP BY clip_id),
+  ga AS (SELECT rm.*, list_reduce(rs[1:block_no + 1], lambda a, x: CASE WHEN x > pow(10.0, -20 / 20.0) THEN a + ({WANTED_SQL} - a)
+      * (CASE WHEN {WANTED_SQL} < a THEN 0.28 ELSE 0.035 END) ELSE a END, CAST(1.0 AS DOUBLE)) AS gain FROM rm JOIN li ON rm.clip_id = li.clip_id),
+  fi AS (SELECT *, list_transform(ys, lambda v: v * gain) AS raised, pow(10.0, -10 / 20.0) AS top FROM ga),
+  bo AS (SELECT *, len(list_filter(raised, lambda v: abs(v) > top)) AS clipped, list_transform(raised, lambda v: greatest(-top, least(top, v))) AS done FROM fi),
+  tt AS (SELECT *, sum(clipped) OVER w AS clipped_total, max(list_max(list_transform(done, lambda v: abs(v)))) OVER w AS peak_total,
+    sqrt(sum(rms * rms) OVER w / (block_no + 1)) AS average_rms FROM bo WINDOW w AS (PARTITION BY clip_id ORDER BY block_no))
+SELECT tt.clip_id, A.vec_id AS block_no, round(rms, 6) AS block_rms, round(gain, 6) AS gain,
+  round(list_sum(list_transform(list_zip(range(1, 65), done), lambda z: z[1] * z[2])), 6) AS checksum, CAST(clipped_total AS BIGINT) AS clipped_total,
+  round(peak_total, 6) AS peak_total, round(average_rms, 6) AS average_rms FROM tt JOIN A ON A.clip_id = tt.clip_id AND A.block_no = tt.block_no""").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("stream_audio", STREAM_AUDIO_SQL)
 def stream_audio(spark, sf_dir):
-    """Equal to the batch filter chain and gain in the tests."""
     blocks = _source(spark, sf_dir, "embeddings").select(
         F.col("label").cast("bigint").alias("clip_id"), F.col("vec_id").alias("block_no"), F.lit(64).alias("rate"), F.lit(1).alias("channels"),
         F.transform("embedding", lambda x: x.cast("double")).alias("samples"))

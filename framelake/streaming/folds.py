@@ -12,7 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 
-from framelake.operators.audio import _filter_states, gain_of
+from framelake.operators.audio import FALL, LEAST_GAIN, MOST_GAIN, RISE, Passes, filter_block, gain_of
 
 
 def _missing(delta: np.ndarray, expected: float) -> int:
@@ -139,7 +139,7 @@ def hysteresis_fold(value: str = "status", high: float = 4, low: float = 2, orde
 
 def audio_fold(highpass_hz=70, lowpass_hz=16000, gate_db=-48, noise_reduction=0.18, target_db=-16, limiter_db=-1.5, user_db=0):
     """Filter chain and adaptive gain over interleaved blocks, with running totals."""
-    highpass, lowpass = min(1000, max(10, highpass_hz)), min(22000, max(1000, lowpass_hz))
+    passes = Passes(highpass_hz, lowpass_hz)
     gate, target, limit, user = gain_of(gate_db), gain_of(target_db), gain_of(limiter_db), gain_of(user_db)
 
     def fold(state, pdf):
@@ -148,16 +148,14 @@ def audio_fold(highpass_hz=70, lowpass_hz=16000, gate_db=-48, noise_reduction=0.
         for row in pdf.itertuples(index=False):
             samples = np.asarray(row.samples, dtype=float).reshape(-1, row.channels)
             while len(state["channels"]) < row.channels:
-                state["channels"].append([0.0, 0.0, 0.0, 1.0])
+                state["channels"].append([0.0, 0.0, 1.0])
             done = np.empty_like(samples)
             for c in range(row.channels):
-                done[:, c], end = _filter_states(samples[:, c], float(row.rate), highpass, lowpass, gate, noise_reduction,
-                                                 tuple(state["channels"][c]))
-                state["channels"][c] = [float(v) for v in end]
+                done[:, c], state["channels"][c] = filter_block(samples[:, c], float(row.rate), passes, gate, noise_reduction, state["channels"][c])
             rms = math.sqrt(float((done * done).sum()) / max(1, done.size))
             if rms > gate:
-                wanted = min(4, max(0.35, target / max(rms, 1e-6)))
-                state["gain"] += (wanted - state["gain"]) * (0.28 if wanted < state["gain"] else 0.035)
+                wanted = min(MOST_GAIN, max(LEAST_GAIN, target / max(rms, 1e-6)))
+                state["gain"] += (wanted - state["gain"]) * (FALL if wanted < state["gain"] else RISE)
             raised = done * state["gain"] * user
             state["clipped"] += int((np.abs(raised) > limit).sum())
             final = np.clip(raised, -limit, limit)
