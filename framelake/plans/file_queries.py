@@ -6,8 +6,12 @@ tables; the extractors then see them like files.
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import retime as rt
@@ -20,6 +24,7 @@ from framelake.plans.retime_queries import LAYOUT_SQL
 from framelake.plans.timeline_queries import STEPS_SQL
 from framelake.session import fresh_dir
 from framelake.sources import media_files as mf
+from framelake.sources import ranged_files as rf
 from framelake.sources.stages import read_index, write_stage_output
 
 
@@ -84,6 +89,59 @@ def scan_ivf_packets(spark, sf_dir):
     return mf.scan_ivf_packets(files).withColumn("pts_ms", F.round("pts_ms", 6))
 
 
+def _archives(spark, sf_dir, label: str, head: bytes, entry: Column, end: bytes = b"") -> DataFrame:
+    """path and length of one container per source, written by the tasks: ``entry`` of each document between head and end."""
+    folder = fresh_dir(spark, label)
+
+    def write(batches):
+        held: dict[str, object] = {}
+        for batch in batches:
+            for source, data in zip(batch.column("source").to_pylist(), batch.column("entry").to_pylist()):
+                if source not in held:
+                    system, inner = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+                    system.create_dir(inner)
+                    held[source] = system.open_output_stream(f"{inner}/{source}")
+                    held[source].write(head)
+                held[source].write(data)
+        for file in held.values():
+            file.write(end)
+            file.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["source"])
+
+    rows = b.table(spark, sf_dir, "documents").select("source", "doc_id", entry.alias("entry"))
+    if rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "entry").mapInArrow(write, "source string").count():
+        return rf.list_files(spark, folder)
+    return spark.createDataFrame([], "path string, length bigint")
+
+
+def _source() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("source")
+
+
+@query("scan_mp4_files", b.sql("D", """x AS (SELECT source, doc_id, octet_length(encode(text)) + 8 AS n FROM documents),
+  m AS (SELECT source, row_number() OVER w AS box_no, 'mdat' AS type, 16 + sum(n) OVER w - n AS "offset", n AS size FROM x WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+  a AS (SELECT source, 0 AS box_no, 'ftyp' AS type, 0 AS "offset", 16 AS size FROM x GROUP BY source UNION ALL SELECT * FROM m
+    UNION ALL SELECT source, count(*) + 1, 'moov', 16 + sum(n), 12 FROM x GROUP BY source)
+SELECT source, CAST(box_no AS INT) AS box_no, type, CAST("offset" AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size FROM a"""))
+def scan_mp4_files(spark, sf_dir):
+    """One file per source, a data box per document; only headers are read back."""
+    ftyp, moov = b"\x00\x00\x00\x10ftypisom0000", b"\x00\x00\x00\x0cmoovabcd"
+    files = _archives(spark, sf_dir, "mp4", ftyp, _box("mdat", F.encode("text", "utf-8")), moov)
+    return rf.scan_mp4_files(files).select(_source(), "box_no", "type", "offset", "size")
+
+
+@query("scan_ivf_files", b.sql("D", """x AS (SELECT source, doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents)
+SELECT source, row_number() OVER w - 1 AS packet_no, CAST(32 + sum(n + 12) OVER w - n AS BIGINT) AS "offset", n AS length, doc_id AS ts
+FROM x WINDOW w AS (PARTITION BY source ORDER BY doc_id)"""))
+def scan_ivf_files(spark, sf_dir):
+    """One archive per source, a packet per document, read in ranges of 64 KB."""
+    text = F.encode("text", "utf-8")
+    packet = F.concat(_number(F.octet_length(text), 4, little=True), _number(F.col("doc_id"), 8, little=True), text)
+    head = b"DKIF" + struct.pack("<HH4sHHIIII", 0, 32, b"VP90", 64, 64, 30000, 1000, 0, 0)
+    files = _archives(spark, sf_dir, "ivf", head, packet)
+    return rf.scan_ivf_files(files, range_bytes=1 << 16).select(_source(), "packet_no", "offset", "length", "ts")
+
+
 @query("read_cube_lut", b.sql("P", LUT_SQL + """
 SELECT 0 AS lut_id, CAST(i AS INT) AS i, round(r, 9) AS r, round(g, 9) AS g, round(b, 9) AS b FROM cube
 UNION ALL SELECT 1, CAST(i AS INT), round(r, 9), round(g, 9), round(b, 9) FROM line"""))

@@ -1,13 +1,13 @@
 """Media containers to rows: boxes, packets and lookup tables.
 
-Files are read one per row and turned into small rows by Arrow functions; every verdict is then
-an ordinary query. Only fixed-size headers are interpreted in Python.
+Contents held in a column are turned into small rows by Arrow functions; every verdict is then an ordinary query. Only
+fixed-size headers are interpreted in Python. Files of any size are better scanned by ``ranged_files``, which reads headers only.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,21 +44,22 @@ _ARROW = {
 }
 
 
-def _boxes(data: bytes) -> Iterator[dict]:
-    """Top-level boxes; the last row carries the problem that ended the walk, if any."""
-    total, offset, number = len(data), 0, 0
+def boxes_of(read: Callable[[int, int], bytes], total: int) -> Iterator[dict]:
+    """Top-level boxes of ``total`` bytes, of which ``read(offset, n)`` gives only the headers; the last row carries the problem that
+    ended the walk, if any."""
+    offset, number = 0, 0
     row = lambda kind, size, problem=None: {"box_no": number, "type": kind, "offset": offset, "size": size,
                                             "prefix_bytes": total, "problem": problem}
     if total < 16:
         yield row(None, None, "header_too_short")
         return
     while total - offset >= 8:
-        size, kind = struct.unpack_from(">I4s", data, offset)
+        size, kind = struct.unpack(">I4s", read(offset, 8))
         header = 8
         if size == 1:
             if total - offset < 16:
                 return
-            size, header = struct.unpack_from(">Q", data, offset + 8)[0], 16
+            size, header = struct.unpack(">Q", read(offset + 8, 8))[0], 16
             if size > MAX_SAFE_SIZE:
                 yield row(None, None, "box_too_large")
                 return
@@ -73,6 +74,10 @@ def _boxes(data: bytes) -> Iterator[dict]:
         offset, number = offset + size, number + 1
 
 
+def _boxes(data: bytes) -> Iterator[dict]:
+    return boxes_of(lambda offset, n: data[offset:offset + n], len(data))
+
+
 def scan_mp4_boxes(files: DataFrame, prefix: int | None = None) -> DataFrame:
     """Top-level boxes of each file; only those of the first ``prefix`` bytes if that is given."""
     content = F.col("content") if prefix is None else F.substring("content", F.lit(1), F.lit(prefix))
