@@ -9,9 +9,11 @@ from framelake.plans.plane_queries import FILTERED_SQL, SCENE_SQL, mad, rounded
 from framelake.plans.registry import query
 from framelake.plans.retime_queries import GRID_US, RESAMPLE_SQL
 from framelake.plans.timeline_queries import GAPS_SQL, HYSTERESIS_SQL, MISSING_SQL, PACING_SQL, STEPS_SQL
+from framelake.session import fresh_dir
 from framelake.streaming import streams as sm
 
 STEP = b.NOMINAL_STEP_US
+WEEK_MS = 7 * 86_400_000
 
 
 def _source(spark, sf_dir, name):
@@ -28,8 +30,12 @@ def _source(spark, sf_dir, name):
 
 
 def _frames(spark, sf_dir):
+    return _as_frames(_source(spark, sf_dir, "events"))
+
+
+def _as_frames(events):
     ts = F.col("ts").cast("timestamp")
-    return _source(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("clip_id"), "event_id", F.unix_micros(ts).alias("pts_us"), F.lit(3_600_000_000).cast("bigint").alias("dur_us"),
         F.least(F.lit(5), F.floor(F.col("value") / 25)).cast("int").alias("status"), "value", ts.alias("event_time"))
 
@@ -129,14 +135,48 @@ def stream_audio(spark, sf_dir):
     return rounded(rows.select("clip_id", "block_no", "block_rms", "gain", total.alias("checksum"), "clipped_total", "peak_total", "average_rms"))
 
 
-@query("stream_resample", b.sql("T", RESAMPLE_SQL + f""",
-  ends AS (SELECT max(pts_us) - 3600000000 AS wm FROM T), rel AS (SELECT i.*, n2.pts_us AS b FROM inner_ticks i JOIN n n2 ON i.clip_id = n2.clip_id AND n2.frame_no = i.frame_no + 1)
+@query("stream_resample", b.sql("T", RESAMPLE_SQL + """
 SELECT clip_id, k AS tick_no, CAST(floor(tau + 0.5) AS BIGINT) AS pts_us, CASE WHEN t < 0.5 THEN frame_no ELSE frame_no + 1 END AS source_no,
-  round(t, 6) AS t, CAST(0 AS BIGINT) AS late FROM rel, ends WHERE b // 1000 <= wm // 1000"""))
+  round(t, 6) AS t, CAST(0 AS BIGINT) AS late FROM inner_ticks
+UNION ALL SELECT clip_id, k, CAST(floor(greatest(tau, pts_us) + 0.5) AS BIGINT), frame_no, 0.0, 0 FROM last_ticks WHERE tau <= pts_us + dur_us"""))
 def stream_resample(spark, sf_dir):
-    """Ticks of the pairs the watermark (an hour behind the newest row) has released."""
-    rows = sm.stream_resample(_frames(spark, sf_dir), GRID_US, delay="1 hour")
-    return rounded(sm.run_available(rows, "resample").drop("batch"))
+    """Every tick of the batch form: the end of the input is declared, so nothing waits for a later row."""
+    frames, close = sm.ending(_frames(spark, sf_dir))
+    rows = sm.stream_resample(frames, GRID_US, delay="1 hour", flush_ms=0, range_ms=WEEK_MS)
+    return rounded(sm.on_time(sm.run_available(rows, "resample", close=close)).drop("batch"))
+
+
+# Rows of the last ten days come in files of their own, after the rest; of these, what is older than the rest's end less an hour is late.
+@query("stream_late_rows", b.sql("T", """cut AS (SELECT max(pts_us) - 864000000000 AS c FROM T),
+  early AS (SELECT * FROM T WHERE event_id % 7 <> 0 OR pts_us > (SELECT c FROM cut)), m AS (SELECT max(pts_us) // 1000 - 3600000 AS wm FROM early)
+SELECT clip_id, pts_us, dur_us FROM T, m WHERE event_id % 7 = 0 AND pts_us <= (SELECT c FROM cut) AND pts_us // 1000 <= wm"""))
+def stream_late_rows(spark, sf_dir):
+    """The second output: rows that arrive behind the watermark, in a table of their own."""
+    edge = b.timelines(spark, sf_dir).agg(F.max("pts_us") - 10 * b.DAY_US).first()[0]
+    folder = fresh_dir(spark, "late-input")
+    table = b.table(spark, sf_dir, "events").withColumn("_pts", F.unix_micros(F.col("ts").cast("timestamp")))
+    behind = (F.col("event_id") % 7 == 0) & (F.col("_pts") <= edge)
+    table.where(~behind).drop("_pts").write.parquet(folder)
+    stream = spark.readStream.schema(table.drop("_pts").schema).parquet(folder)
+    rows = sm.stream_resample(_as_frames(stream), GRID_US, delay="1 hour", range_ms=WEEK_MS)
+    progress = fresh_dir(spark, "late-progress")
+    sm.run_available(rows, "late-first", progress=progress)
+    table.where(behind).drop("_pts").write.mode("append").parquet(folder)
+    return sm.late_rows(sm.run_available(rows, "late-then", progress=progress), "pts_us bigint, dur_us bigint")
+
+
+@query("stream_restarted_pacing", b.sql("T", f"{STEPS_SQL}, pacing AS ({PACING_SQL}) SELECT * FROM pacing"))
+def stream_restarted_pacing(spark, sf_dir):
+    """A query over the first half of the time is stopped; its counters are read from its state and start a new query over the rest."""
+    bounds = b.timelines(spark, sf_dir).agg(F.min("pts_us"), F.max("pts_us")).first()
+    middle = (bounds[0] + bounds[1]) // 2
+    progress = fresh_dir(spark, "first-half-progress")
+    order = ("pts_us", "event_id")
+    first = sm.run_available(sm.stream_pacing(_frames(spark, sf_dir).where(F.col("pts_us") < middle), STEP, order=order), "first-half", "update",
+                             progress=progress)
+    rest = sm.stream_pacing(_frames(spark, sf_dir).where(F.col("pts_us") >= middle), STEP, order=order, initial=sm.saved_state(spark, progress))
+    both = first.withColumn("batch", F.lit(-1)).unionByName(sm.run_available(rest, "second-half", "update"))
+    return sm.latest(both)
 
 
 @query("stream_telemetry", b.sql("T", """w AS (SELECT clip_id AS device_id, make_timestamp(pts_us // 86400000000 * 86400000000) AS s, heap_ratio, pts_us FROM T)

@@ -48,64 +48,97 @@ class FoldProcessor(StatefulProcessor):
 class ReorderProcessor(FoldProcessor):
     """Holds rows until the watermark has passed them, so the fold sees them in event order.
 
-    Rows at or behind the watermark cannot be put in order any more: they are counted in
-    ``late`` and left out of the fold, never dropped silently. With ``flush`` given, a key whose
-    last row lies ``flush_ms`` behind the watermark emits its closing rows.
+    Waiting rows lie in a map from time range (``range_ms`` wide) to rows, so that a release reads the ranges that the watermark has reached
+    and no others. Rows at or behind the watermark cannot be put in order any more: they are counted in ``late`` and come out
+    as JSON in ``late_row``, beside the fold's rows (columns ``made``). With ``flush`` given, a key whose last row lies ``flush_ms`` behind the watermark
+    emits its closing rows.
     """
 
-    def __init__(self, fold, keys, order, event_ms: str, columns: list[str], buffer_schema: str, flush=None, flush_ms: int = 0):
+    def __init__(self, fold, keys, order, event_ms: str, columns: list[str], made: list[str], flush=None, flush_ms: int = 0,
+                 range_ms: int = 60_000):
         super().__init__(fold, keys, order)
-        self.event_ms, self.columns, self.buffer_schema = event_ms, columns, buffer_schema
-        self.flush, self.flush_ms = flush, flush_ms
+        self.event_ms, self.columns, self.made = event_ms, columns, made
+        self.flush, self.flush_ms, self.range_ms = flush, flush_ms, range_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.buffer = handle.getListState("buffer", self.buffer_schema)
-        self.meta = handle.getValueState("meta", "late bigint, newest bigint, closed boolean")
+        self.waiting = handle.getMapState("waiting", "range bigint", "rows string")
+        self.meta = handle.getValueState("meta", "late bigint, newest bigint, closed boolean, ranges string")
 
     def _meta(self):
         found = self.meta.get() if self.meta.exists() else None
-        return [int(found[0]), int(found[1]), bool(found[2])] if found else [0, -1, False]
-
-    def _release(self, key, watermark: int, late: int) -> Iterator[pd.DataFrame]:
-        rows = list(self.buffer.get()) if self.buffer.exists() else []
-        at = self.columns.index(self.event_ms)
-        ready = [r for r in rows if r[at] <= watermark]
-        rest = [tuple(r) for r in rows if r[at] > watermark]
-        if rest:
-            self.buffer.put(rest)
-            self.handle.registerTimer(int(min(r[at] for r in rest)))  # wakes when the next row is ready
-        elif rows:
-            self.buffer.clear()
-        if ready:
-            out = self._run(key, pd.DataFrame([tuple(r) for r in ready], columns=self.columns))
-            out["late"] = late
-            yield out
+        return [int(found[0]), int(found[1]), bool(found[2]), json.loads(found[3])] if found else [0, -1, False, []]
+
+    def _save(self, late: int, newest: int, closed: bool, ranges: list[int]) -> None:
+        self.meta.update((late, newest, closed, json.dumps(ranges)))
+
+    def _keep(self, rows: pd.DataFrame, ranges: list[int]) -> list[int]:
+        for number, part in rows.groupby(rows[self.event_ms] // self.range_ms, sort=False):
+            number = int(number)
+            held = json.loads(self.waiting.getValue((number,))[0]) if number in ranges else []
+            self.waiting.updateValue((number,), (json.dumps(held + json.loads(part[self.columns].to_json(orient="values", double_precision=15))),))
+            ranges = sorted({*ranges, number})
+        return ranges
+
+    def _release(self, key, watermark: int, late: int, ranges: list[int]) -> tuple[list[pd.DataFrame], list[int]]:
+        at, ready, left = self.columns.index(self.event_ms), [], []
+        for number in ranges:
+            if number * self.range_ms > watermark:
+                left.append(number)
+                continue
+            rows = json.loads(self.waiting.getValue((number,))[0])
+            rest = [r for r in rows if r[at] > watermark]
+            ready += [r for r in rows if r[at] <= watermark]
+            if rest:
+                self.waiting.updateValue((number,), (json.dumps(rest),))
+                left.append(number)
+            else:
+                self.waiting.removeKey((number,))
+        if left:  # wakes when the watermark has reached more of the next range
+            self.handle.registerTimer(max(left[0] * self.range_ms, watermark + 1))
+        if not ready:
+            return [], left
+        out = self._run(key, pd.DataFrame(ready, columns=self.columns))
+        out["late"], out["late_row"] = late, None
+        return [out], left
+
+    def _late_rows(self, key, part: pd.DataFrame, late: int) -> pd.DataFrame:
+        texts = [json.dumps(r) for r in json.loads(part[self.columns].to_json(orient="records", double_precision=15))]
+        out = pd.DataFrame({name: [None] * len(texts) for name in self.made})
+        for name, value in zip(self.keys, key):
+            out[name] = value
+        out["late"], out["late_row"] = late, texts
+        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        late, newest, closed = self._meta()
+        late, newest, closed, ranges = self._meta()
         for part in rows:
             behind = part[self.event_ms] <= watermark
             late += int(behind.sum())
-            keep = part.loc[~behind, self.columns]
+            if behind.any():
+                yield self._late_rows(key, part.loc[behind], late)
+            keep = part.loc[~behind]
             if len(keep):
-                self.buffer.appendList([tuple(r) for r in keep.astype(object).itertuples(index=False, name=None)])
+                ranges = self._keep(keep, ranges)
                 newest = max(newest, int(keep[self.event_ms].max()))
                 if self.flush:
                     self.handle.registerTimer(newest + self.flush_ms)
-        self.meta.update((late, newest, closed))
-        yield from self._release(key, watermark, late)
+        out, ranges = self._release(key, watermark, late, ranges)
+        self._save(late, newest, closed, ranges)
+        yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        late, newest, closed = self._meta()
-        yield from self._release(key, watermark, late)
+        late, newest, closed, ranges = self._meta()
+        out, ranges = self._release(key, watermark, late, ranges)
         if self.flush and not closed and watermark >= newest + self.flush_ms:
-            out = self.flush(self._load())
-            self.meta.update((late, newest, True))
-            if len(out):
+            closed = True
+            last = self.flush(self._load())
+            if len(last):
                 for name, value in zip(self.keys, key):
-                    out[name] = value
-                out["late"] = late
-                yield out
+                    last[name] = value
+                last["late"], last["late_row"] = late, None
+                out.append(last)
+        self._save(late, newest, closed, ranges)
+        yield from out

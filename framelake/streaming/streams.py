@@ -6,6 +6,8 @@ rows are ordered by their position. Use ``reordered`` where sources deliver out
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,27 +62,63 @@ def stream_audio(blocks: DataFrame, **options) -> DataFrame:
     return _apply(blocks, folds.audio_fold(**options), folds.AUDIO_OUT, ["block_no"], "append")
 
 
+#: rows at this time or later only move the watermark
+END = "9000-01-01 00:00:00"
+
+
 def reordered(frames: DataFrame, fold, out: str, delay: str, columns: str, order: list[str], flush=None, flush_ms: int = 0,
-              event_time: str = "event_time") -> DataFrame:
-    """Runs a fold over rows in event order, released by the watermark; adds the running ``late`` count.
+              event_time: str = "event_time", range_ms: int = 60_000) -> DataFrame:
+    """Runs a fold over rows in event order, released by the watermark; adds the running ``late`` count and ``late_row``.
 
-    ``columns`` is the DDL of the columns the fold needs; ``event_time`` is the row's timestamp.
+    ``columns`` is the DDL of the columns the fold needs; ``event_time`` is the row's timestamp. Use ``on_time`` and ``late_rows`` to part
+    the two kinds of output. Rows at ``END`` close the input (see ``ending``).
     """
-    names = [part.strip().split()[0] for part in columns.split(",")]
-    timed = frames.withWatermark(event_time, delay).select(
-        *CLIP, event_time, F.unix_millis(event_time).alias("event_ms"), *[n for n in names if n not in CLIP])
+    parts = [part.strip() for part in columns.split(",")]
+    names = [p.split()[0] for p in parts]
+    timed = frames.withWatermark(event_time, delay).where(F.col(event_time) < F.lit(END).cast("timestamp")).select(
+        *CLIP, F.unix_millis(event_time).alias("event_ms"), *[n for n in names if n not in CLIP])
     buffered = [n for n in names if n not in CLIP] + ["event_ms"]
-    schema = ", ".join(p.strip() for p in columns.split(",") if p.strip().split()[0] not in CLIP) + ", event_ms bigint"
-    processor = ReorderProcessor(fold, CLIP, order, "event_ms", buffered, schema, flush, flush_ms)
-    return timed.groupBy(*CLIP).transformWithStateInPandas(processor, f"{out}, clip_id bigint, late bigint", "append", "EventTime")
+    made = [part.split()[0] for part in out.split(", ")]
+    processor = ReorderProcessor(fold, CLIP, order, "event_ms", buffered, made, flush, flush_ms, range_ms)
+    return timed.groupBy(*CLIP).transformWithStateInPandas(
+        processor, f"{out}, clip_id bigint, late bigint, late_row string", "append", "EventTime")
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    """What the fold made of the rows in order."""
+    return rows.where("late_row is null").drop("late_row")
+
+
+def late_rows(rows: DataFrame, columns: str) -> DataFrame:
+    """Rows that came behind the watermark, with the ``columns`` (DDL) that the fold was given."""
+    return rows.where("late_row is not null").select("clip_id", F.from_json("late_row", columns).alias("_r")).select("clip_id", "_r.*")
+
+
+def ending(frames: DataFrame, event_time: str = "event_time") -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with an end that can be declared: (stream, close).
+
+    ``close()`` puts one mark behind all rows into a folder that the stream also reads; its next trigger moves the watermark past every row,
+    which releases what still waits and fires all closing timers.
+    """
+    spark = frames.sparkSession
+    folder = fresh_dir(spark, "end-marks")
+    marks = spark.createDataFrame([], frames.schema)
+    marks.write.parquet(folder)
+
+    def close() -> None:
+        row = spark.range(1).select(*[(F.lit(END).cast(f.dataType) if f.name == event_time else F.lit(None).cast(f.dataType)).alias(f.name)
+                                      for f in frames.schema.fields])
+        row.write.mode("append").parquet(folder)
+
+    return frames.unionByName(spark.readStream.schema(frames.schema).parquet(folder)), close
 
 
 def stream_resample(frames: DataFrame, step_us: float, delay: str = "1 second", flush_ms: int | None = None,
-                    event_time: str = "event_time") -> DataFrame:
+                    event_time: str = "event_time", range_ms: int = 60_000) -> DataFrame:
     """Constant-rate ticks. The last tick of a clip follows once the watermark is ``flush_ms`` past
-    its last frame (None: never)."""
+    its last frame (None: never). Ranges of ``range_ms`` should hold some hundred frames."""
     return reordered(frames, folds.resample_fold(step_us), folds.RESAMPLE_OUT, delay, "pts_us bigint, dur_us bigint", ["pts_us"],
-                     folds.resample_flush(step_us) if flush_ms is not None else None, flush_ms or 0, event_time)
+                     folds.resample_flush(step_us) if flush_ms is not None else None, flush_ms or 0, event_time, range_ms)
 
 
 def stream_telemetry(telemetry: DataFrame, event_time: str = "ts", window: str = "1 minute", slide: str | None = None,
@@ -110,6 +148,12 @@ def seed_state(seeds: DataFrame, kind: str) -> DataFrame:
     return seeds.select("clip_id", F.to_json(state, {"ignoreNullFields": "false"}).alias("state"))
 
 
+def saved_state(spark: SparkSession, progress: str) -> DataFrame:
+    """Counters of a stopped query, read from its checkpoint: what ``seed_state`` makes by hand, to start another query from."""
+    held = (spark.read.format("statestore").option("path", progress).option("operatorId", 0).option("stateVarName", "fold").load())
+    return held.select(F.col("key.clip_id").alias("clip_id"), F.col("value.state").alias("state"))
+
+
 # ---- running ------------------------------------------------------------------------------
 
 def prepare(spark: SparkSession) -> None:
@@ -118,28 +162,37 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(STATE_STORE_CONF, ROCKSDB_PROVIDER)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+def run_available(stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None, close: Callable[[], None] | None = None,
+                  progress: str | None = None) -> DataFrame:
     """Processes everything available and returns the output with its trigger number ``batch``.
 
     Output and progress live in the shared work folder. A trigger that is repeated after a failure
-    overwrites its own rows. ``partitions`` sets the number of state partitions (default: the cores).
+    overwrites its own rows. ``partitions`` sets the number of state partitions (default: the cores). With ``close`` (see ``ending``) the
+    input is then declared complete and the query goes on from its checkpoint to the end. ``progress`` names the checkpoint folder, for
+    ``saved_state``.
     """
     spark = stream.sparkSession
     prepare(spark)
-    target, progress = fresh_dir(spark, f"{label}-rows"), fresh_dir(spark, f"{label}-progress")
+    target, progress = fresh_dir(spark, f"{label}-rows"), progress or fresh_dir(spark, f"{label}-progress")
 
     def sink(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(partitions or spark.sparkContext.defaultParallelism))
-    try:
-        run = (stream.writeStream.outputMode(mode).option("checkpointLocation", progress)
-               .trigger(availableNow=True).foreachBatch(sink).start())
-    finally:
-        spark.conf.set(key, before)
-    run.awaitTermination()
+    def once() -> None:
+        key = "spark.sql.shuffle.partitions"
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(partitions or spark.sparkContext.defaultParallelism))
+        try:
+            run = (stream.writeStream.outputMode(mode).option("checkpointLocation", progress)
+                   .trigger(availableNow=True).foreachBatch(sink).start())
+        finally:
+            spark.conf.set(key, before)
+        run.awaitTermination()
+
+    once()
+    if close is not None:
+        close()
+        once()
     schema = stream.schema.simpleString()[len("struct<"):-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
     return spark.read.schema(f"{fields}, batch int").parquet(target) if schema else spark.read.parquet(target)

@@ -93,7 +93,9 @@ def test_resample_with_flush_and_late_rows(spark, tmp_path):
             os.utime(tmp_path / f"p{i}" / name, (time.time() - 1000 + 10 * i,) * 2)
     stream = (spark.readStream.schema(timed([]).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
               .withColumn("event_time", F.timestamp_micros("pts_us")))
-    got = sm.run_available(sm.stream_resample(stream, 16_000, delay="2 seconds", flush_ms=1000), "t").cache()
+    out = sm.run_available(sm.stream_resample(stream, 16_000, delay="2 seconds", flush_ms=1000, range_ms=100), "t").cache()
+    got = sm.on_time(out)
+    assert [tuple(r) for r in sm.late_rows(out, "pts_us bigint, dur_us bigint").collect()] == [(1, 5000, 40000)]
     columns = ("clip_id", "tick_no", "pts_us", "source_no")
     want = retime.resample_cfr(timed(clips), step_us=16_000)
     assert rows_of(got.where("clip_id < 3"), *columns) == rows_of(want, *columns)
@@ -151,3 +153,35 @@ def test_telemetry_windows_slide(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("s"))
     out = sm.run_available(sm.stream_telemetry(stream, window="1 minute", slide="30 seconds"), "t", "update")
     assert sorted((r.start.minute * 60 + r.start.second, r.samples) for r in sm.latest(out, ("device_id", "start")).collect()) == [(0, 1), (30, 2), (60, 1)]
+
+
+@pytest.mark.parametrize("range_ms", [1, 1000, 10 ** 9])
+def test_declared_end_gives_the_batch_result(spark, tmp_path, range_ms):
+    """Shuffled files, rows out of order inside the delay: nothing waits for a later row once the end is declared."""
+    import random
+    rng = random.Random(range_ms)
+    rows = [(c, i, i * 40_000 + rng.randrange(9000) + c * 777, 40_000) for c in range(3) for i in range(60)]
+    rows.sort(key=lambda r: (r[2] // 500_000, rng.random()))
+    frames = spark.createDataFrame(rows, "clip_id bigint, frame_no bigint, pts_us bigint, dur_us bigint").coalesce(1)
+    stream = as_stream(spark, frames, tmp_path, ["clip_id"]).withColumn("event_time", F.timestamp_micros("pts_us"))
+    ended, close = sm.ending(stream)
+    out = sm.run_available(sm.stream_resample(ended, 16_000, delay="1 minute", flush_ms=0, range_ms=range_ms), "t", close=close)
+    columns = ("clip_id", "tick_no", "pts_us", "source_no")
+    assert sm.late_rows(out, "pts_us bigint").count() == 0
+    assert rows_of(sm.on_time(out), *columns) == rows_of(retime.resample_cfr(frames, step_us=16_000), *columns)
+
+
+def test_state_of_a_stopped_query_seeds_the_next(spark, tmp_path):
+    frames = spark.createDataFrame([(c, i, i * 40_000 + (90_000 if i > 30 else 0)) for c in range(4) for i in range(50)], "clip_id bigint, frame_no bigint, pts_us bigint")
+    for half in "ab":
+        (tmp_path / half).mkdir()
+    first = as_stream(spark, frames.where("frame_no < 20 and clip_id < 3"), tmp_path / "a", ["frame_no"])
+    rest = as_stream(spark, frames.where("frame_no >= 20 or clip_id = 3"), tmp_path / "b", ["frame_no"])
+    progress = str(tmp_path / "progress")
+    sm.run_available(sm.stream_pacing(first, 40_000), "t", "update", progress=progress)
+    saved = sm.saved_state(spark, progress)
+    assert saved.count() == 3
+    got = sm.latest(sm.run_available(sm.stream_pacing(rest, 40_000, initial=saved), "t", "update"))
+    want = timeline.pacing_report(frames, 40_000)
+    columns = ("clip_id", "frames", "missing", "irregular")
+    assert rows_of(got, *columns) == rows_of(want, *columns)
