@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.pixels import linear_recurrence
 from framelake.operators import scans
-from framelake.operators.ordered import SEG, SEGMENT_ROWS, key_totals, segment_of
+from framelake.operators.ordered import SEG, SEGMENT_ROWS, key_totals, segment_of, stored
 from framelake.operators.planes import array_sum
 
 CLIP = ["clip_id"]
@@ -294,7 +294,7 @@ def audio_filter_chain(blocks: DataFrame, highpass_hz: float = 70, lowpass_hz: f
                     done.append(low * levels)
             yield _with_samples(batch, done)
 
-    before = scans.stored(scans.prefixes(scans.summaries(cut, group, ["block_no"], passes.summary), CHANNEL, passes.compose, fan))
+    before = stored(scans.prefixes(scans.summaries(cut, group, ["block_no"], passes.summary), CHANNEL, passes.compose, fan))
     gates = scans.prefixes(scans.summaries(cut, group, ["block_no"], gate_summary, before), CHANNEL, scans.compose_affine, fan)
     starts = (before.join(gates.withColumnRenamed(scans.PREFIX, "_gate"), group)
               .select(*group, F.concat(scans.PREFIX, "_gate").alias(scans.PREFIX)))

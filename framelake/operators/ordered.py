@@ -18,11 +18,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.session import ensure_checkpoints
+
 SEG = "_seg"
 HOME = "_home"
 SEGMENT_ROWS = 16_384
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpoints, and gives the columns an identity of their own so they can meet their source."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint().toDF(*df.columns)
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -209,31 +217,54 @@ def explode_range(df: DataFrame, low: Column, high: Column, name: str,
         .drop("_lo", "_hi", "_start"))
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets_per_octave: int = 4096) -> DataFrame:
+#: keys of up to so many rows are sorted as they are
+SMALL_KEY = 4096
+#: half the width, in ranks per row, of the bracket that a sketch puts around the median of a large key
+BRACKET, SKETCH = 0.002, 10_000
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], small: int = SMALL_KEY) -> DataFrame:
     """Per key and column the element sorted[n div 2]; null and NaN count as 0.
 
-    Equal values are counted before the shuffle, a histogram finds the bucket that holds the wanted rank, and only that
-    bucket's distinct values are sorted, so no group is gathered.
+    Keys are counted first. The values of a key of at most ``small`` rows are one small array per column. For larger keys one sketch per
+    column brackets the median, one aggregate counts the rows below the bracket and keeps none of them, and only the few distinct values
+    inside the bracket become rows. A bracket that misses its rank (a sketch promises its error only for most merges) is widened to
+    everything, so the result is exact at every size. No group is gathered.
     """
-    keys = list(keys)
-    pairs = F.array(*[F.struct(F.lit(c).alias("_name"),
-                               F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)),
-                                          F.lit(0.0)).alias("_value")) for c in columns])
-    long = df.select(*keys, F.inline(pairs))
-    counts = long.groupBy(*keys, "_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn(
-        "_bucket", F.signum("_value") * F.floor(F.log2(F.abs("_value") + 1) * buckets_per_octave))
-    group = keys + ["_name"]
-    by_bucket = Window.partitionBy(*group).orderBy("_bucket")
-    histogram = (counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_n"))
-                 .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
-                 .withColumn("_upto", F.sum("_n").over(by_bucket))
-                 .withColumn("_rank", F.expr("_total div 2"))
-                 .where("_upto > _rank and _upto - _n <= _rank")
-                 .select(*group, "_bucket", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
-    inside = Window.partitionBy(*group).orderBy("_value")
-    picked = (counts.join(histogram, group + ["_bucket"])
-              .withColumn("_upto", F.sum("_n").over(inside))
-              .where("_upto > _rank and _upto - _n <= _rank"))
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == c, F.col("_value"))).alias(c) for c in columns])
+    keys, columns = list(keys), list(columns)
+    clean = df.select(*keys, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > small)
+    upper = lambda c: F.sort_array(F.collect_list(c))[F.expr("CAST(count(1) div 2 AS INT)")].alias(c)
+    if large.isEmpty():
+        return clean.groupBy(*keys).agg(*[upper(c) for c in columns])
+    few = clean.join(large.select(*keys), keys, "left_anti").groupBy(*keys).agg(*[upper(c) for c in columns])
+    return few.unionByName(_large_medians(clean, keys, columns, stored(large)))
+
+
+def _large_medians(clean: DataFrame, keys: list[str], columns: list[str], large: DataFrame) -> DataFrame:
+    rows = clean.join(large, keys)
+    ends = lambda c: F.percentile_approx(c, [0.5 - BRACKET, 0.5 + BRACKET], SKETCH).alias(f"_e_{c}")
+    brackets = stored(rows.groupBy(*keys).agg(*[ends(c) for c in columns]))
+    met = rows.join(brackets, keys)
+    below = stored(met.groupBy(*keys).agg(*[F.count_if(F.col(c) < F.col(f"_e_{c}")[0]).alias(f"_b_{c}") for c in columns]))
+    pair = lambda c: F.struct(F.lit(c).alias("_name"), F.col(c).alias("_value"), F.col(f"_e_{c}").alias("_ends"))
+    inside = lambda p: (p["_value"] >= p["_ends"][0]) & (p["_value"] <= p["_ends"][1])
+    group = [*keys, "_name"]
+    held = (met.select(*keys, F.inline(F.filter(F.array(*[pair(c) for c in columns]), inside)))
+            .groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_k")))
+    offsets = below.join(large, keys).select(*keys, F.expr("_n div 2").alias("_rank"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_name"), F.col(f"_b_{c}").alias("_below")) for c in columns])))
+    picked = stored(_at_rank(held.join(offsets, group), group))
+    missed = offsets.join(picked, group, "left_anti")
+    if not missed.isEmpty():  # all distinct values of these columns, each counted before it is moved
+        every = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).alias("_value")) for c in columns])))
+        counted = every.join(missed.select(*group, "_rank"), group).groupBy(*group, "_rank", "_value").agg(F.count(F.lit(1)).alias("_k"))
+        picked = picked.unionByName(_at_rank(counted.withColumn("_below", F.lit(0).cast("bigint")), group))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_value"))).alias(c) for c in columns])
+
+
+def _at_rank(counted: DataFrame, group: list[str]) -> DataFrame:
+    """The value at ``_rank`` of each group of distinct values with their counts ``_k``, of which ``_below`` rows come first."""
+    upto = F.col("_below") + F.sum("_k").over(Window.partitionBy(*group).orderBy("_value"))
+    return counted.withColumn("_upto", upto).where("_upto > _rank and _upto - _k <= _rank").select(*group, "_value")

@@ -23,8 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.ordered import SEG, SEGMENT_ROWS, segment_of
-from framelake.session import ensure_checkpoints
+from framelake.operators.ordered import SEG, SEGMENT_ROWS, segment_of, stored
 
 PREFIX, ROW, MAP = "_prefix", "_row", "_map"
 FAN = 64
@@ -91,12 +90,6 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Checkpoints, and gives the columns an identity of their own so they can meet their source."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint().toDF(*df.columns)
-
-
 def summaries(cut: DataFrame, group: Sequence[str], order: Sequence[str], summarise: Callable[[Batches, bytes | None], bytes],
               starts: DataFrame | None = None) -> DataFrame:
     """One row per segment: its group and its ``_map``."""

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.scans import stored
+from framelake.operators.ordered import stored
 from framelake.sources.media_files import BOX_SCHEMA, boxes_of
 
 RANGE_BYTES = 64 << 20

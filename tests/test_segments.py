@@ -116,16 +116,33 @@ def test_number_rows_counts_over_buckets(frames):
         assert [r.n for r in mine] == list(range(len(mine)))
 
 
-def test_upper_median_is_the_upper_one(spark):
+@pytest.mark.parametrize("small", [0, 12, 4096])
+def test_upper_median_is_the_upper_one(spark, small):
     rng = random.Random(1)
     data = [(k, rng.choice([None, float("nan"), 0.0, -3.5, rng.random(), 2.0 ** rng.randint(-8, 8)])) for k in range(6) for _ in range(3 + 7 * k)]
     got = {r.clip_id: r.x for r in ordered.upper_median(spark.createDataFrame(data, "clip_id bigint, x double"), ["clip_id"], ["x"],
-                                                            ).collect()}
+                                                            small).collect()}
     for k in range(6):
         values = sorted(0.0 if v is None or v != v else v for c, v in data if c == k)
         assert got[k] == values[len(values) // 2]
 
 
+@pytest.mark.parametrize("spoiled", [False, True])
+def test_upper_median_of_a_large_key(spark, spoiled, monkeypatch):
+    """A million distinct values in a millionth, ties, and a second column; also where the sketch's bracket holds nothing."""
+    import numpy as np
+    if spoiled:
+        monkeypatch.setattr(ordered, "BRACKET", -0.1)
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.pmod(F.col("id") * 7_919_999, F.lit(1_000_003)) * 1e-12).alias("narrow"),
+                               F.floor(F.sqrt("id")).cast("double").alias("tied"), F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(-F.col("id")).alias("mixed"))
+    got = ordered.upper_median(df, ["k"], ["narrow", "tied", "mixed"]).first()
+    ids = np.arange(n)
+    mixed = np.where(ids % 3 == 0, 0.0, -ids)
+    assert got.narrow == np.sort(ids * 7_919_999 % 1_000_003 * 1e-12)[n // 2]
+    assert got.tied == np.sort(np.floor(np.sqrt(ids)))[n // 2] and got.mixed == np.sort(mixed)[n // 2]
+
+
 def test_explode_range_covers_long_ranges(spark):
     df = spark.createDataFrame([(1, 5, 10_004), (2, 3, 2)], "k bigint, lo bigint, hi bigint")
     out = ordered.explode_range(df, F.col("lo"), F.col("hi"), "i", chunk=100)
