@@ -27,6 +27,23 @@ def test_clauses(listed, text, want):
     assert got.tolist() == [want.get(k, 0) for k in range(6)]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("you are an “idiot”", {AT: 1}), ("you are an idiot…", {AT: 1}), ("idiot\u00a0today", {PLAIN: 1}), ("«idiot»", {PLAIN: 1}),
+    ("an idiot—you know", {PLAIN: 1}), ("an idiot\u2009you know", {AT: 1}), ("¡idiot!", {PLAIN: 1}), ("idiot。you", {PLAIN: 1}),
+    ("you‘idiot’", {AT: 1}), ("idiot\u200byou", {AT: 1}), ("idiotñ “é” …", {}), ("“", {}), ("…idiot", {PLAIN: 1})])
+def test_typographic_punctuation(listed, text, want):
+    for texts in ([text], ["ñ", text, "…"]):
+        got = listed.features(pa.array(texts, pa.large_string()))[len(texts) // 2]
+        assert got.tolist() == [want.get(k, 0) for k in range(6)]
+
+
+def test_plain_keeps_every_byte_in_place():
+    texts = ["", "a“b”c… — ñ 漢字。", None, "x\u3000y\uff01"]
+    got = toxicity.plain(pa.array([t or "" for t in texts], pa.large_string()).slice(1))
+    assert [len(t.encode()) for t in got.to_pylist()] == [len((t or "").encode()) for t in texts[1:]]
+    assert got.to_pylist()[0].split() == ["a", "b", "c.", ".", "ñ", "漢字."]
+
+
 def test_composition_equals_the_machines_side_by_side():
     rng = np.random.default_rng(4)
     one, two = toxicity.negation(2), toxicity.reported()
