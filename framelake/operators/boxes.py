@@ -157,31 +157,68 @@ def track_boxes(boxes: DataFrame, smoothing: float = 0.62, min_iou: float = 0.08
 
 # ---- region proposals ---------------------------------------------------------------------
 
-def _components(mask: np.ndarray) -> list[tuple[int, ...]]:
-    """(min x, min y, max x, max y, cells, first cell) of 8-connected regions, by spreading the
-    smallest label."""
-    height, width = mask.shape
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+def connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest number that each of 0..n-1 is connected with by the edges (a, b).
+
+    Every tree of parents is hooked below its smallest neighbour and then shortened until it is flat; both halve what is left, so long chains
+    take as many rounds as their length has digits.
+    """
+    parent = np.arange(n)
     while True:
-        padded = np.pad(np.where(labels > 0, labels, mask.size + 1), 1, constant_values=mask.size + 1)
-        lowest = np.min([padded[dy:dy + height, dx:dx + width] for dy in range(3) for dx in range(3)], axis=0)
-        spread = np.where(mask, lowest, 0)
-        if np.array_equal(spread, labels):
-            break
-        labels = spread
-    out = []
-    for label in np.unique(labels[labels > 0]):
-        ys, xs = np.nonzero(labels == label)
-        out.append((int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max()), len(xs), int(label)))
-    return out
+        pa_, pb = parent[a], parent[b]
+        apart = pa_ != pb
+        if not apart.any():
+            return parent
+        a, b, pa_, pb = a[apart], b[apart], pa_[apart], pb[apart]
+        np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first and last column of every horizontal run of set cells, in order."""
+    edge = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = mask
+    steps = np.diff(edge, axis=1)
+    line, first = np.nonzero(steps == 1)
+    return line, first, np.nonzero(steps == -1)[1] - 1
+
+
+def _components(mask: np.ndarray) -> list[tuple[int, ...]]:
+    """(min x, min y, max x, max y, cells, first cell) of 8-connected regions: runs of cells, joined with the runs of the next line that
+    they touch."""
+    line, first, last = _runs(mask)
+    n = len(line)
+    if not n:
+        return []
+    wide = mask.shape[1] + 2
+    # the runs of the next line that touch a run are neighbours in the order of runs
+    low = np.searchsorted(line * wide + last, (line + 1) * wide + first - 1)
+    high = np.searchsorted(line * wide + first, (line + 1) * wide + last + 1, "right")
+    touching = np.maximum(0, high - low)
+    a = np.repeat(np.arange(n), touching)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(touching) - touching, touching) + np.repeat(low, touching)
+    root, at = np.unique(connected(a, b, n), return_inverse=True)
+    m = len(root)
+    least_x, most_x, most_y, cells = np.full(m, wide), np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    np.minimum.at(least_x, at, first)
+    np.maximum.at(most_x, at, last)
+    np.maximum.at(most_y, at, line)
+    np.add.at(cells, at, last - first + 1)
+    # a region's smallest run holds its topmost line and its first cell
+    return [(int(least_x[k]), int(line[r]), int(most_x[k]), int(most_y[k]), int(cells[k]), int(line[r] * mask.shape[1] + first[r] + 1))
+            for k, r in enumerate(root.tolist())]
 
 
 def region_proposals(frames: DataFrame, max_boxes: int | None = None, cell: int = 6, share: float = 0.34,
                      colour=("r", "g", "b"), width: str = "width", height: str = "height") -> DataFrame:
     """Boxes around connected skin-coloured cells of small colour planes, largest first.
 
-    The pixel rule is a column expression; only the components of one plane's cell mask (a few
-    hundred cells) are found in numpy. Sizes scale from the plane (pw, ph) to the frame.
+    The pixel rule is a column expression; only the components of one plane's cell mask are found in numpy, in a few rounds whatever
+    their shape. Sizes scale from the plane (pw, ph) to the frame.
     """
     r, g, b = colour
     skin = F.transform(F.arrays_zip(r, g, b), lambda p: skin_chroma(p[r], p[g], p[b]).cast("int"))

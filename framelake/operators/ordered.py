@@ -70,10 +70,16 @@ def _lookers(df: DataFrame, keys: list[str], position: str, back: int, ahead: in
     One row per segment that has rows: its number of positions and its outermost ones. Ordinals of whole segments then
     tell how many rows of the end of a segment another one sees, so numbers may have holes of any size.
     """
+    order = Window.partitionBy(*keys).orderBy(SEG)
+    if back <= 1 and ahead <= 1:  # the outermost rows, seen by the neighbours
+        ends = df.groupBy(*keys, SEG).agg(F.min(position).alias("_low"), F.max(position).alias("_high"))
+        nothing = F.lit(None).cast("bigint")
+        sides = [F.struct(F.lead(SEG).over(order).alias("to"), F.col("_high").alias("low"), nothing.alias("high"))] if back else []
+        sides += [F.struct(F.lag(SEG).over(order).alias("to"), nothing.alias("low"), F.col("_low").alias("high"))] if ahead else []
+        return ends.select(*keys, SEG, F.filter(F.array(*sides), lambda t: t["to"].isNotNull()).alias("_seen"))
     positions = F.collect_set(position)
     ends = df.groupBy(*keys, SEG).agg(F.size(positions).alias("_n"), F.slice(F.sort_array(positions), 1, max(1, ahead)).alias("_first"),
                                       F.slice(F.sort_array(positions, asc=False), 1, max(1, back)).alias("_last"))
-    order = Window.partitionBy(*keys).orderBy(SEG)
     ends = ends.withColumn("_start", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ends = ends.withColumn("_end", F.col("_start") + F.col("_n"))
     seen = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -10,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from framelake.operators.ordered import SEG, SEGMENT_ROWS, neighbours, segment_of
 
@@ -67,38 +65,31 @@ def observe(df: DataFrame, observer: Callable[[pd.DataFrame], dict], merge: Call
     return parts.groupBy(*keys).applyInPandas(whole, f"{key_schema}, {partial_schema}")
 
 
-@udtf(returnType="tile_x: int, tile_y: int, tile_w: int, tile_h: int")
-class TileLayout:
-    """tile_layout(width, height, tile, overlap): the tiles covering a plane."""
-
-    def eval(self, width: int, height: int, tile: int, overlap: int):
-        stride = tile - overlap
-        if stride <= 0:
-            raise ValueError("overlap must be smaller than the tile")
-        count = lambda length: max(0, math.ceil((length - tile) / stride)) + 1
-        for line in range(count(height)):
-            for column in range(count(width)):
-                x, y = column * stride, line * stride
-                yield x, y, min(tile, width - x), min(tile, height - y)
-
-
-@udtf(returnType="box_no: bigint, x: double, y: double, width: double, height: double, score: double")
-class DecodeBoxes:
-    """decode_boxes(stride, input_width, input_height, threshold, cls, obj, bbox): grid boxes."""
-
-    def eval(self, stride: int, input_width: int, input_height: int, threshold: float, cls: list, obj: list, bbox: list):
-        columns, lines = input_width // stride, input_height // stride
-        n = columns * lines
-        score = np.sqrt(np.clip(np.asarray(cls[:n], float), 0, 1) * np.clip(np.asarray(obj[:n], float), 0, 1))
-        grid = np.asarray(bbox[:4 * n], float).reshape(n, 4)
-        size = np.exp(np.clip(grid[:, 2:], -10, 10)) * stride
-        for i in np.flatnonzero(score >= threshold):
-            cx, cy = (i % columns + grid[i, 0]) * stride, (i // columns + grid[i, 1]) * stride
-            w, h = size[i]
-            yield int(stride * 1_000_000 + i), float(cx - w / 2), float(cy - h / 2), float(w), float(h), float(score[i])
+_TILES = """CREATE OR REPLACE TEMPORARY FUNCTION tile_layout(width INT, height INT, tile INT, overlap INT)
+RETURNS TABLE(tile_x INT, tile_y INT, tile_w INT, tile_h INT) COMMENT 'the tiles covering a plane'
+RETURN SELECT inline(flatten(
+  transform(sequence(0, greatest(0, ceil((height - tile) / nullif(tile - overlap, 0)))), line ->
+    transform(sequence(0, greatest(0, ceil((width - tile) / nullif(tile - overlap, 0)))), k -> named_struct(
+      'tile_x', CAST(IF(tile > overlap, k * (tile - overlap), raise_error('overlap must be smaller than the tile')) AS INT),
+      'tile_y', CAST(line * (tile - overlap) AS INT),
+      'tile_w', CAST(least(tile, width - k * (tile - overlap)) AS INT),
+      'tile_h', CAST(least(tile, height - line * (tile - overlap)) AS INT))))))"""
+
+_SCORE = "sqrt(greatest(0D, least(1D, get(cls, {i}))) * greatest(0D, least(1D, get(obj, {i}))))"
+_EXTENT = "exp(greatest(-10D, least(10D, get(bbox, 4 * i + {k})))) * stride"
+_BOXES = f"""CREATE OR REPLACE TEMPORARY FUNCTION decode_boxes(stride INT, input_width INT, input_height INT, threshold DOUBLE,
+  cls ARRAY<DOUBLE>, obj ARRAY<DOUBLE>, bbox ARRAY<DOUBLE>)
+RETURNS TABLE(box_no BIGINT, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, score DOUBLE) COMMENT 'boxes of a grid detector'
+RETURN SELECT inline(transform(
+  filter(sequence(0, (input_width div stride) * (input_height div stride) - 1), i -> {_SCORE.format(i="i")} >= threshold), i -> named_struct(
+    'box_no', CAST(stride * 1000000L + i AS BIGINT),
+    'x', (i % (input_width div stride) + get(bbox, 4 * i)) * stride - {_EXTENT.format(k=2)} / 2,
+    'y', (i div (input_width div stride) + get(bbox, 4 * i + 1)) * stride - {_EXTENT.format(k=3)} / 2,
+    'width', {_EXTENT.format(k=2)}, 'height', {_EXTENT.format(k=3)}, 'score', {_SCORE.format(i="i")})))"""
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """Makes tile_layout and decode_boxes available in SQL (LATERAL joins)."""
-    spark.udtf.register("tile_layout", TileLayout)
-    spark.udtf.register("decode_boxes", DecodeBoxes)
+    """Makes tile_layout(width, height, tile, overlap) and decode_boxes(stride, input_width, input_height, threshold, cls, obj, bbox) available
+    in SQL (LATERAL joins). They are SQL functions: a call becomes one generator in the plan of the query, without Python."""
+    spark.sql(_TILES)
+    spark.sql(_BOXES)

@@ -250,9 +250,29 @@ def undo_letterbox(spark, sf_dir):
     return rounded(out.select("clip_id", "frame_no", "box_no", "x", "y", "width", "height"))
 
 
-@query("region_proposals")
+# Cells reach their neighbours step by step; a region is named by its first cell.
+PROPOSALS_SQL = b.sql("V", """px AS (SELECT clip_id, frame_no, unnest(luma) AS v, unnest(range(64)) AS i FROM V),
+  c AS (SELECT *, CASE WHEN v > 120 THEN least(255, v + 60) ELSE 10 END AS r, v AS g, greatest(0, v - 20) AS bl FROM px),
+  cell AS MATERIALIZED (SELECT clip_id, frame_no, i, i % 8 AS x, i // 8 AS y FROM c WHERE r + g + bl > 90
+    AND -0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * bl + 128 BETWEEN 72 AND 138
+    AND 0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * bl + 128 BETWEEN 126 AND 184),
+  reach(clip_id, frame_no, i, x, y, root) AS (SELECT clip_id, frame_no, i, x, y, i FROM cell
+    UNION SELECT n.clip_id, n.frame_no, n.i, n.x, n.y, r.root FROM reach r JOIN cell n
+      ON n.clip_id = r.clip_id AND n.frame_no = r.frame_no AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND n.i > r.root),
+  named AS (SELECT clip_id, frame_no, i, x, y, min(root) AS root FROM reach GROUP BY ALL),
+  reg AS (SELECT clip_id, frame_no, root + 1 AS box_no, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, CAST(count(*) AS INT) AS cells FROM named GROUP BY clip_id, frame_no, root),
+  sc AS (SELECT *, (x1 - x0 + 1) * 80.0::DOUBLE AS w, (y1 - y0 + 1) * 80.0::DOUBLE AS h FROM reg WHERE cells >= 3 AND x1 > x0 AND y1 > y0),
+  sd AS (SELECT *, greatest(w, h * 0.82::DOUBLE) * 1.65::DOUBLE AS s FROM sc),
+  bx AS (SELECT *, x0 * 80 + w / 2 - s / 2 AS bx0, y0 * 80 + h / 2 - s * 0.48::DOUBLE AS by0 FROM sd),
+  cl AS (SELECT clip_id, frame_no, box_no, cells, greatest(0.0, floor(bx0)) AS x, greatest(0.0, floor(by0)) AS y,
+    least(640.0, ceil(bx0 + s)) - greatest(0.0, floor(bx0)) AS width, least(640.0, ceil(by0 + s)) - greatest(0.0, floor(by0)) AS height FROM bx),
+  rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY clip_id, frame_no ORDER BY width * height DESC, box_no) AS INT) AS rank FROM cl WHERE width >= 51.2 AND height >= 51.2)
+SELECT clip_id, frame_no, rank, cells, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height FROM rk WHERE rank <= 4""").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("region_proposals", PROPOSALS_SQL)
 def region_proposals(spark, sf_dir):
-    """Connected components: checked against a flood fill in the tests."""
     planes = b.planes(spark, sf_dir).withColumns({
         "r": F.transform("luma", lambda v: F.least(F.lit(255), v + 60)), "g": F.col("luma"),
         "b": F.transform("luma", lambda v: F.greatest(F.lit(0), v - 20)), "width": F.lit(640), "height": F.lit(640)})

@@ -161,6 +161,33 @@ def test_nms_sequential(spark, maximum):
         assert got[frame] == {i: d[2] for i, d in enumerate(kept)}
 
 
+def test_one_snake_of_a_large_plane(monkeypatch):
+    """A region that winds through a 4K mask: a few rounds, not one per cell."""
+    import numpy as np
+    mask = np.zeros((540, 960), bool)
+    mask[::4] = True
+    for k, y in enumerate(range(1, 538, 4)):
+        mask[y:y + 3, 0 if k % 2 else -1] = True
+    rounds = []
+    real = np.array_equal
+    monkeypatch.setattr(boxes.np, "array_equal", lambda *a: rounds.append(1) or real(*a))
+    assert boxes._components(mask) == [(0, 0, 959, 539, int(mask.sum()), 1)]
+    assert len(rounds) < 60
+    rng = np.random.default_rng(1)
+    for share in (.2, .45, .7):
+        mask = rng.random((40, 33)) < share
+        labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+        while True:
+            padded = np.pad(np.where(labels > 0, labels, 10 ** 6), 1, constant_values=10 ** 6)
+            low = np.where(mask, np.min([padded[dy:dy + 40, dx:dx + 33] for dy in range(3) for dx in range(3)], axis=0), 0)
+            if (low == labels).all():
+                break
+            labels = low
+        want = [(xs.min(), ys.min(), xs.max(), ys.max(), len(xs), k) for k in np.unique(labels[labels > 0]) for ys, xs in [np.nonzero(labels == k)]]
+        assert boxes._components(mask) == [tuple(map(int, w)) for w in want]
+    assert boxes._components(np.zeros((3, 3), bool)) == []
+
+
 def test_region_proposals_flood_fill(spark):
     rng = random.Random(2)
     data = []

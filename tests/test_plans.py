@@ -20,6 +20,20 @@ def test_no_nested_loops_or_row_udfs(spark, small, name):
         assert node not in text
 
 
+@pytest.mark.parametrize("name", ["tile_udtf", "boxes_udtf"])
+def test_table_functions_are_one_generator(spark, small, name):
+    text = plan_of(QUERIES[name](spark, small))
+    assert "Python" not in text and "ArrowEval" not in text and "Join" not in text.split("Generate")[0]
+
+
+def test_tiles_must_advance(spark, small):
+    from framelake.operators import usercode
+    usercode.register_table_functions(spark)
+    assert spark.sql("SELECT count(*) FROM tile_layout(100, 50, 30, 10)").first()[0] == 5 * 2
+    with pytest.raises(Exception, match="overlap must be smaller than the tile"):
+        spark.sql("SELECT * FROM VALUES (100) AS v(w), LATERAL tile_layout(w, 50, 30, 40) t").collect()
+
+
 def test_rules_are_one_narrow_scan(spark, small):
     text = plan_of(QUERIES["output_geometry"](spark, small))
     assert "Exchange" not in text and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int>" in text
