@@ -280,9 +280,23 @@ def motion_field(spark, sf_dir):
     return rounded(out.select("clip_id", "frame_no", "ready", "global_dx", "global_dy", "confidence", "motion"), 9)
 
 
-@query("history_blend")
+# Up to three blended planes are carried along, the oldest first; missing ones weigh nothing.
+HISTORY_SQL = b.sql("V", FIELD_SQL + """,
+  al AS (SELECT V.clip_id, V.frame_no, list_transform(luma, lambda v: CAST(v AS DOUBLE)) AS x, coalesce(confidence, 0) > 0.12 AS sure,
+    least(0.32::DOUBLE, 0.28::DOUBLE * greatest(0, 1 - coalesce(motion, 0) / 3.0) * coalesce(confidence, 0)) AS base
+    FROM V LEFT JOIN fld ON V.clip_id = fld.clip_id AND V.frame_no = fld.frame_no),
+  st AS MATERIALIZED (SELECT clip_id, frame_no, x, frame_no > 0 AND sure AND base > 0.002 AS applied, base FROM al),
+  wt AS MATERIALIZED (SELECT *, CASE WHEN applied AND frame_no >= 3 THEN base / 3 ELSE 0 END AS a1, CASE WHEN applied AND frame_no >= 2 THEN base / 2 ELSE 0 END AS a2,
+    CASE WHEN applied THEN base ELSE 0 END AS a3 FROM st),
+  r AS (SELECT clip_id, frame_no, applied, x AS o1, x AS o2, x AS o3 FROM wt WHERE frame_no = 0
+    UNION ALL SELECT wt.clip_id, wt.frame_no, wt.applied, r.o2, r.o3, list_transform(list_zip(wt.x, r.o1, r.o2, r.o3), lambda z:
+      ((z[1] * (1 - wt.a1) + z[2] * wt.a1) * (1 - wt.a2) + z[3] * wt.a2) * (1 - wt.a3) + z[4] * wt.a3)
+    FROM r JOIN wt ON wt.clip_id = r.clip_id AND wt.frame_no = r.frame_no + 1)
+SELECT clip_id, frame_no, applied, round(list_sum(o3), 4) AS checksum FROM r""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("history_blend", HISTORY_SQL)
 def history_blend(spark, sf_dir):
-    """Recursive over planes: checked against a sequential model in the tests."""
     fields = mo.motion_field(b.planes(spark, sf_dir), block=1, radius=1, vectors=False)
     out = mo.history_blend(fields, strength=1.0)
     total = F.aggregate("blended", F.lit(0.0), lambda acc, v: acc + v)
