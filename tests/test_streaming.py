@@ -102,7 +102,8 @@ def test_resample_with_flush_and_late_rows(spark, tmp_path):
 
 
 def test_late_rows_are_counted():
-    """The count travels with the next rows a key emits."""
+    """Late rows come out as they are; the count travels with the next rows a key emits. Ranges behind the watermark are gone."""
+    import json
     from framelake.streaming.processors import ReorderProcessor
     import pandas as pd
 
@@ -111,28 +112,31 @@ def test_late_rows_are_counted():
         def exists(self): return self.value is not None
         def get(self): return self.value
         def update(self, value): self.value = value
-        def put(self, value): self.value = list(value)
-        def appendList(self, value): self.value = (self.value or []) + list(value)
-        def clear(self): self.value = None
+
+    class Cells(dict):
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
 
     class Handle:
         timers = []
         def getValueState(self, *a): return Cell()
-        def getListState(self, *a): return Cell()
+        def getMapState(self, *a): return Cells()
         def registerTimer(self, at): self.timers.append(at)
 
     class At:
         def __init__(self, watermark): self.watermark = watermark
         def getCurrentWatermarkInMs(self): return self.watermark
 
-    p = ReorderProcessor(folds.resample_fold(10_000), ["clip_id"], ["pts_us"], "event_ms", ["pts_us", "dur_us", "event_ms"], "")
+    p = ReorderProcessor(folds.resample_fold(10_000), ["clip_id"], ["pts_us"], "event_ms", ["pts_us", "dur_us", "event_ms"],
+                         folds.RESAMPLE_COLUMNS, range_ms=1)
     p.init(Handle())
     rows = lambda *ms: [pd.DataFrame({"clip_id": 1, "pts_us": [m * 1000 for m in ms], "dur_us": 1, "event_ms": list(ms)})]
     assert list(p.handleInputRows((1,), rows(30, 10, 20), At(0))) == []
     assert min(Handle.timers) == 10
     out = pd.concat(p.handleExpiredTimer((1,), At(25), None))
     assert out["pts_us"].tolist() == [10_000] and out["late"].tolist() == [0]
-    assert list(p.handleInputRows((1,), rows(5, 24), At(25))) == []
+    assert list(p.waiting) == [(30,)]
+    late = pd.concat(p.handleInputRows((1,), rows(5, 24), At(25)))
+    assert [json.loads(t)["pts_us"] for t in late["late_row"]] == [5000, 24_000] and late["pts_us"].isna().all()
     out = pd.concat(p.handleExpiredTimer((1,), At(40), None))
     assert out["pts_us"].tolist() == [20_000] and out["late"].tolist() == [2]
 
