@@ -44,6 +44,7 @@ class Rule:
     flags: int = re.ASCII
     least: int = 1  # characters of ``group``
     group: int = 0
+    before: str = ""  # characters that may not stand in front: a run is tried once, at its start
 
 
 #: The three base rules, then those that the method adds (fixed public token formats).
@@ -53,11 +54,11 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", re.ASCII, 24),
 )
 MORE = (
-    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", before="A-Za-z0-9_-"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("url_login", r"[a-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@", before="a-z0-9+.-"),
 )
 RULES = BASE + MORE
 
@@ -196,7 +197,7 @@ def _matches(rule: Rule, compiled: re.Pattern, text: str) -> Iterator[tuple[int,
 def _compiled(rule: Rule) -> re.Pattern:
     # runs below the least length never count: the engine may skip them at once
     pattern = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
-    return re.compile(pattern, rule.flags)
+    return re.compile(f"(?<![{rule.before}]){pattern}" if rule.before else pattern, rule.flags)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -240,9 +241,17 @@ def _sql_pattern(rule: Rule) -> str:
     if rule.flags & re.IGNORECASE:
         word = re.compile(r"[a-z]{3,}")
         pattern = word.sub(lambda m: "".join(f"[{c}{c.upper()}]" for c in m[0]), pattern)
+    if _leads(rule):
+        pattern = f"(?:^|[^{rule.before}]){pattern}"
     return pattern.replace("'", "''")
 
 
+def _leads(rule: Rule) -> bool:
+    """Whether a match has to take the character in front with it: there is no looking back here. The leftmost match of a
+    pattern that begins with its own class begins at the start of the run anyway."""
+    return bool(rule.before) and not rule.pattern.startswith(f"[{rule.before}]+")
+
+
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """Spans from the matches in order: each is the first occurrence of its text behind the one before."""
     finds = " UNION ALL ".join(f"""SELECT doc_id, k, kind, f,
@@ -252,9 +261,12 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
         {{'s': a.pos + strpos(substr(t, a.pos + 1), m) - 1, 'm': m}})}},
       {{'pos': 0::BIGINT, 'spans': []::STRUCT(s BIGINT, m VARCHAR)[]}}).spans) AS f FROM d)"""
                                for k, r in enumerate(rules))
+    leads = " ".join(f"WHEN k = {k} AND regexp_matches(f.m, '^[^{r.before}]') THEN 1" for k, r in enumerate(rules) if _leads(r))
+    leads = leads or "WHEN false THEN 0"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({finds}),
-spans AS (SELECT doc_id, k, f.s AS s, kind || ':' || f.s || ':' || (f.s + length(f.m)) AS shown FROM found WHERE long)
+placed AS (SELECT doc_id, k, kind, f.s + CASE {leads} ELSE 0 END AS s, f.s + length(f.m) AS e FROM found WHERE long),
+spans AS (SELECT doc_id, k, s, kind || ':' || s || ':' || e AS shown FROM placed)
 SELECT d.doc_id, """ + ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE)) + f""",
   sha256(coalesce(string_agg(shown, ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '')) AS base_sha256,
   coalesce(string_agg(shown, ',' ORDER BY s, k), '') AS spans

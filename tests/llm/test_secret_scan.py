@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -35,7 +37,7 @@ def brute(rows):
     for doc_id, text in rows:
         spans = []
         for k, rule in enumerate(secret_scan.RULES):
-            for m in re.finditer(rule.pattern, text or "", rule.flags):
+            for m in re.finditer(f"(?<![{rule.before}])" * bool(rule.before) + rule.pattern, text or "", rule.flags):
                 if len(m.group(rule.group)) >= rule.least:
                     spans.append((m.start(), k, m.end()))
         spans.sort()
@@ -56,9 +58,30 @@ def test_edges(spark, tmp_path):
     hexes = "0123456789abcdef" * 3
     rows = [(None, f"é password: 'secret=abcdefgh' {hexes}"), (1, None), (2, ""), (3, "toKen=abc token=abcdef; ſecret=abcdefg"),
             (3, "toKen=abc token=abcdef; ſecret=abcdefg"), (4, "x" * 200000 + " AKIA" + "A" * 16 + " https://me:pw@host AKIA1"),
-            (5, "-----BEGIN RSA PRIVATE KEY----- xoxb-1234567890ab eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijk"), (6, "F" * 30 + hexes[:23])]
+            (7, "ghp_" + "a" * 900 + " xoxb-" + "1" * 700 + " " + "s" * 30 + "://" + "u" * 99 + ":" + "p" * 99 + "@h AeyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijk"),
+            (8, "(eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijk) a://b:c@d://e:f@"), (5, "-----BEGIN RSA PRIVATE KEY----- xoxb-1234567890ab eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijk"), (6, "F" * 30 + hexes[:23])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = secret_scan.op3_secret_scan(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute(rows), key=str)
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 400_000, "eyJaaaaaaaa." * 90_000 + "?", "a" * 1_000_000, "ab:" * 300_000, "token " * 200_000,
+                                  "-----BEGIN " * 90_000, "x://" * 250_000, "a://" + "b" * 1_000_000, "xoxb-" * 200_000, "ghp_" * 250_000])
+def test_a_megabyte_takes_linear_time(text):
+    for rule in secret_scan.RULES:
+        begin = time.process_time()
+        list(secret_scan._matches(rule, secret_scan._compiled(rule), text))
+        assert time.process_time() - begin < 3, rule.kind
+
+
+def test_sql_on_edges(spark, tmp_path):
+    texts = ["eyJaaaaaaaa.eyJbbbbbbbb.cccccccc", "\n(eyJaaaaaaaa.eyJbbbbbbbb.cccccccc) AeyJaaaaaaaa.eyJbbbbbbbb.cccccccc", "a://b:c@d://e:f@ +x-y://u:p@", "é", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        names = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
+        want = sorted(db.execute(f"SELECT {names} FROM ({secret_scan.oracle()})").fetchall())
+    assert sorted(map(tuple, secret_scan.op3_secret_scan(spark, str(tmp_path)).select(*names.split(", ")).collect())) == want
+    assert want == sorted(brute(list(enumerate(texts))))
