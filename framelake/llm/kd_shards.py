@@ -1,15 +1,17 @@
 """Operator 10, sharding: a k-d tree over document metadata, cut at weighted medians until leaves reach their bytes.
 
-Dimensions are the logarithm of the text's bytes, source, language and ``doc_id``, each scaled to 0..1. A node that is
-to become k shards is cut along its widest dimension where floor(k/2)/k of its bytes lie in front, so any number of
-shards comes out near equal. A median is found by two sums over all rows of the level: bytes per 1/1024 of the node's
-range, then, inside the one bin the cut falls in, bytes per 1/65536 of a hash of the row. A single value that a third of
-all rows share is thereby cut inside itself. Rows are never sorted or gathered; the driver holds the tree, that is one
-row per shard and level.
-
-Law: ``bytes``. Null texts have no bytes (8 with the end mark), null metadata lie at the lower end of their dimension.
-Equal rows go the same way. Only the named columns are read; an empty table gives no rows, and a table with fewer
-documents than shards leaves some empty.
+Dimensions are the logarithm of the text's bytes, source, language and ``doc_id``, each scaled to 0..1; source and
+language are numbered by the order of their whole strings. A node that is to become k shards is cut along its widest
+dimension where floor(k/2)/k of its bytes lie in front, so any number of shards comes out near equal. A median is found
+by two sums over all rows of the level: bytes per 1/1024 of the node's range, then, inside the one bin the cut falls in,
+bytes per 1/65536 of a hash of the text. A single value that a third of all rows share is thereby cut inside itself.
+Rows are never sorted or gathered; the driver holds the tree, that is one row per shard and level.
+
+Law: ``bytes``. Groups: equal texts go as one, by the smallest of each metadata value among them, while all of them
+together hold at most ``TOGETHER`` of a leaf; larger groups would make leaves unequal and are dealt row by row. Null texts have
+no bytes (8 with the end mark) and are equal to empty ones; null metadata lie at the lower end of their dimension. Equal
+rows of a group that is dealt go the same way. Only the named columns are read; an empty table gives no rows, and a table
+with fewer documents than shards leaves some empty.
 """
 
 from __future__ import annotations
@@ -19,31 +21,72 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import cut, dense_number, read
+from framelake.llm.shared import cut, dense_number, read, small_side
 
 SHARDS = 24
 BINS = 1 << 10
 SUB_BINS = 1 << 16
 DIMENSIONS = ("size_log", "source_code", "lang_code", "id_code")
+#: What names equal texts, and what their places depend on.
+GROUP = ("text_key", "text_crc32")
+PLACE = ("source_code", "lang_code", "id_code")
+#: Share of a leaf up to which equal texts stay together: an end of a leaf is off by half of it at most.
+TOGETHER = 1 / 16
+#: Share of all bytes above which a group of equal texts is broadcast.
+HOT = 1 / 10_000
+#: Distinct sources or languages up to which their numbers are broadcast.
+FEW_VALUES = 100_000
 #: Levels after which the rows are written anew, to keep plans short.
 LEVELS_PER_CUT = 6
 
 
-def _code(text: Column) -> Column:
-    """A number that orders strings by their first six bytes."""
-    start = F.rpad(F.substring(F.hex(F.col(text).cast("string").cast("binary")), 1, 12), 12, "0")
-    return F.conv(start, 16, 10).cast("double")
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``<name>_code``: the number of the string among the distinct ones, in order; -1 for null.
+
+    Distinct values are numbered in ranges, each by its own task, so that they may be as many as the rows.
+    """
+    spread = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where(F.col(name).isNotNull())
+    ranged = cut(spread.repartitionByRange(name).select(name, F.spark_partition_id().alias("_range")))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start")))
+    inside = Window.partitionBy("_range").orderBy(name)
+    numbers = (ranged.join(starts, "_range")
+               .select(F.col(name).alias("_value"), (F.col("_start") + F.row_number().over(inside) - 1).cast("double").alias("_code")))
+    numbers = small_side(numbers, FEW_VALUES)
+    return (rows.join(numbers, rows[name] == F.col("_value"), "left")
+            .withColumn(f"{name}_code", F.coalesce("_code", F.lit(-1.0))).drop("_value", "_code", name))
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, tie and the dimensions; the text goes no further."""
+    """doc_id, size, text_crc32, the text's key and the dimensions; the text goes no further."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.log2(F.octet_length(text) + 8.0).alias("size_log"), _code("source").alias("source_code"),
-        _code("lang").alias("lang_code"), F.col("doc_id").cast("double").alias("id_code"),
-    ).withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUB_BINS)))
+    size = (F.octet_length(text) + 8).cast("long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_key"), F.log2(size.cast("double")).alias("size_log"), F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("double").alias("id_code"))
+    return _ranked(_ranked(cut(rows), "source"), "lang")
+
+
+def _grouped(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of equal texts get one place and one ``tie``, where they fit a leaf together."""
+    groups = (rows.groupBy(*GROUP).agg(F.sum("size").alias("_held"), F.count(F.lit(1)).alias("_n"), *[F.min(d).alias(f"_{d}") for d in PLACE])
+              .where("_n > 1"))
+    leaf = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    groups = cut(groups.withColumn("_whole", F.col("_held") <= leaf * TOGETHER))
+    # A group above a share of all bytes is one of few: those meet their rows as a broadcast table of at most 1/HOT rows, and no
+    # group that is left is large enough to weigh on a task.
+    hot = groups.where(F.col("_held") > leaf * shards * HOT)
+    for side in (F.broadcast(hot), groups.where(F.col("_held") <= leaf * shards * HOT)):
+        met = rows.join(side, list(GROUP), "left")
+        moved = F.coalesce(F.col("_whole"), F.lit(False))
+        rows = met.select("doc_id", "size", *GROUP, *[F.when(moved, F.col(f"_{d}")).otherwise(F.col(d)).alias(d) for d in PLACE], "size_log",
+                          *([F.coalesce(F.col("_parted"), ~F.col("_whole")).alias("_parted")] if "_parted" in rows.columns
+                            else [(~F.col("_whole")).alias("_parted")]))
+    apart = F.xxhash64("doc_id", *GROUP)
+    tie = F.when(F.coalesce(F.col("_parted"), F.lit(False)), apart).otherwise(F.xxhash64(*GROUP))
+    return rows.withColumn("tie", F.pmod(tie, F.lit(SUB_BINS))).drop("_parted")
 
 
 def _scaled(rows: DataFrame) -> DataFrame:
@@ -110,10 +153,10 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     ``shards`` leaves, or as many as ``target_bytes`` asks for.
     """
     spark = docs.sparkSession
-    rows = cut(metadata(docs))
+    rows = metadata(docs)
     if target_bytes:
         shards = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    rows = _scaled(rows).withColumn("node", F.lit(0))
+    rows = cut(_scaled(_grouped(rows, shards))).withColumn("node", F.lit(0))
     leaves = {0: shards}
     level = 0
     while max(leaves.values()) > 1:
