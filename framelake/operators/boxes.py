@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 
@@ -16,9 +17,14 @@ from framelake.functions.geometry import expand_box, iou
 from framelake.functions.mathx import dbl
 from framelake.functions.pixels import same_size, stacked
 from framelake.operators.chained import chained_fold
-from framelake.operators.ordered import SEGMENT_ROWS
+from framelake.operators.ordered import SEGMENT_ROWS, number_rows, stored
 
 FRAME = ["clip_id", "frame_no"]
+BOX = ["x", "y", "width", "height"]
+#: Boxes up to which a frame is folded as one array.
+CROWDED = 2_048
+#: Best undecided boxes of a grid cell that a round looks at.
+FRONT = 64
 
 
 def decode_detections(outputs: DataFrame, score_threshold: float = 0.72, input_width: int = 320,
@@ -64,14 +70,27 @@ def undo_letterbox(boxes: DataFrame, source_width, source_height, input_width: i
 
 
 def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = None, min_score: float | None = None,
-        keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
+        keys=tuple(FRAME), tie: str = "box_no", crowded: int = CROWDED, front: int = FRONT) -> DataFrame:
     """Greedy non-maximum suppression by score within a frame; ``max_boxes`` stops after that many.
 
-    The boxes of a frame are sorted once and folded as one array: a box stays unless a kept one covers it. Equal scores
+    The boxes of a frame are sorted once and folded as one array: a box stays unless a kept one covers it. Frames of more
+    than ``crowded`` boxes, all with finite sizes, are dealt to a grid instead, with the same rows as result. Equal scores
     go by ``tie``, equal ties by the rest of the row, so a number that repeats is no problem.
     """
     keys = list(keys)
     rest = boxes if min_score is None else boxes.where(F.col("score") >= min_score)
+    if threshold <= 0:  # any two boxes exclude each other
+        return _folded(rest, threshold, max_boxes, keys, tie)
+    whole = F.every(F.coalesce(F.greatest(*[F.abs(c) for c in BOX]) < float("inf"), F.lit(False)))
+    crowds = stored(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), whole.alias("_whole"))
+                    .where((F.col("_n") > crowded) & F.col("_whole")).select(*keys))
+    if crowds.isEmpty():
+        return _folded(rest, threshold, max_boxes, keys, tie)
+    few = _folded(rest.join(crowds, keys, "left_anti"), threshold, max_boxes, keys, tie)
+    return few.unionByName(_dealt(rest.join(crowds, keys, "left_semi"), threshold, max_boxes, keys, tie, front).select(*few.columns))
+
+
+def _folded(rest: DataFrame, threshold: float, max_boxes: int | None, keys: list[str], tie: str) -> DataFrame:
     columns = [c for c in rest.columns if c not in keys]
     entry = F.struct((-F.col("score")).alias("_s"), F.col(tie).alias("_t"), F.struct(*columns).alias("box"))
     grouped = rest.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
@@ -81,6 +100,51 @@ def nms(boxes: DataFrame, threshold: float = 0.3, max_boxes: int | None = None,
     return grouped.select(*keys, F.posexplode(kept).alias("rank", "_e")).select(*keys, "rank", "_e.box.*")
 
 
+def _cells(threshold: float):
+    """Grid cells of a box: (level, column, line), cells of a level being twice as wide as its boxes are at least.
+
+    Boxes that overlap enough differ in their longer sides by at most 1 / threshold. Each is put into the cells of its own
+    level and of as many above as such a partner may have: a few cells, whatever its size, and one in common.
+    """
+    more = max(0, math.ceil(math.log2(1 / threshold) + 1e-9))
+    level = F.floor(F.log2(F.greatest("width", "height"))).cast("int")
+    span = lambda low, size, n: F.sequence(F.floor(F.col(low) / F.pow(F.lit(2.0), n + 1)), F.floor((F.col(low) + F.col(size)) / F.pow(F.lit(2.0), n + 1)))
+    return F.flatten(F.flatten(F.transform(F.sequence(level, level + more), lambda n: F.transform(
+        span("x", "width", n), lambda column: F.transform(span("y", "height", n), lambda line: F.struct(
+            n.alias("level"), column.alias("column"), line.alias("line")))))))
+
+
+def _dealt(crowd: DataFrame, threshold: float, max_boxes: int | None, keys: list[str], tie: str, front: int) -> DataFrame:
+    """Suppression in rounds over the cells of a grid, so that a frame of any size spreads over tasks.
+
+    A round keeps every box that is among the ``front`` best undecided ones of each of its cells and overlaps no better
+    one there, then drops what the kept ones cover. The best undecided box of a frame is always kept, so rounds end; a
+    box meets at most ``front`` others per cell and round.
+    """
+    columns = [c for c in crowd.columns if c not in keys]
+    order = F.struct((-F.col("score")).alias("_s"), F.col(tie).alias("_t"), F.struct(*columns).alias("box"), "_id")
+    marked = stored(crowd.withColumn("_id", F.monotonically_increasing_id())).withColumn("_o", order)
+    flat = (F.col("width") <= 0) | (F.col("height") <= 0)  # overlaps nothing
+    waiting = stored(marked.where(~flat).select(*keys, "_id", "_o", F.struct(*BOX).alias("_box"), F.explode(_cells(threshold)).alias("_cell")))
+    cell = [*keys, "_cell"]
+    covers = lambda other: iou(other, F.col("_box")) >= threshold
+    kept = [marked.where(flat).select("_id")]
+    while not waiting.isEmpty():
+        best = F.row_number().over(Window.partitionBy(*cell).orderBy("_o"))
+        fronts = (waiting.withColumn("_k", best).where(F.col("_k") <= front).groupBy(*cell)
+                  .agg(F.collect_list(F.struct("_o", "_box")).alias("_front"), F.max("_o").alias("_last")))
+        free = (F.col("_o") <= F.col("_last")) & ~F.exists("_front", lambda e: (e["_o"] < F.col("_o")) & covers(e["_box"]))
+        chosen = stored(waiting.join(fronts, cell).groupBy("_id").agg(F.every(free).alias("_free")).where("_free").select("_id"))
+        winners = waiting.join(chosen, "_id", "left_semi").groupBy(*cell).agg(F.collect_list("_box").alias("_won"))
+        covered = waiting.join(winners, cell).where(F.exists("_won", covers)).select("_id")
+        waiting = stored(waiting.join(covered.union(chosen).distinct(), "_id", "left_anti"))
+        kept.append(chosen)
+    out = marked.join(functools.reduce(DataFrame.union, kept), "_id", "left_semi")
+    ranged = stored(out.repartitionByRange(*keys, "_o").withColumn("_range", F.spark_partition_id()))
+    ranked = number_rows(ranged, keys, ["_o"], F.col("_range"), "rank").withColumn("rank", F.col("rank").cast("int"))
+    return (ranked.where(F.col("rank") < max_boxes) if max_boxes else ranked).drop("_id", "_o", "_range")
+
+
 def top_boxes(boxes: DataFrame, n: int | None, by: str = "area", keys=tuple(FRAME), tie: str = "box_no") -> DataFrame:
     """The n largest (``area``) or best (``score``) boxes per frame."""
     measure = F.col("width") * F.col("height") if by == "area" else F.col("score")

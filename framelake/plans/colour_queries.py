@@ -191,6 +191,15 @@ def nms_unlimited(spark, sf_dir):
     return rounded(bx.nms(b.boxes(spark, sf_dir), max_boxes=None).select("clip_id", "frame_no", "box_no", "rank", "score"))
 
 
+@query("nms_crowded", b.sql("B", "B1 AS (SELECT * REPLACE (0::BIGINT AS frame_no) FROM B), " + NMS_SQL.replace(
+    "score DESC, box_no)", "score DESC, box_no, x, y, width, height)").replace("FROM B GROUP", "FROM B1 GROUP") + """, ex AS (SELECT clip_id, frame_no, unnest(kept) AS k, unnest(range(len(kept))) AS i FROM kp)
+SELECT clip_id, frame_no, k.box_no AS box_no, CAST(i AS INT) AS rank, round(k.score, 6) AS score FROM ex"""))
+def nms_crowded(spark, sf_dir):
+    """All boxes of a clip as one frame: frames of any size, dealt to a grid."""
+    crowd = b.boxes(spark, sf_dir).withColumn("frame_no", F.lit(0).cast("bigint"))
+    return rounded(bx.nms(crowd, max_boxes=None, crowded=64).select("clip_id", "frame_no", "box_no", "rank", "score"))
+
+
 @query("top_boxes", b.sql("B", """r AS (SELECT clip_id, frame_no, box_no, row_number() OVER (PARTITION BY clip_id, frame_no ORDER BY width * height DESC, box_no) AS k FROM B)
 SELECT clip_id, frame_no, box_no, CAST(k AS INT) AS rank FROM r WHERE k <= 2"""))
 def top_boxes(spark, sf_dir):

@@ -161,6 +161,26 @@ def test_nms_sequential(spark, maximum):
         assert got[frame] == {i: d[2] for i, d in enumerate(kept)}
 
 
+@pytest.mark.parametrize("threshold,maximum,front", [(.3, None, 3), (.55, 40, 64)])
+def test_nms_of_a_crowded_frame(spark, threshold, maximum, front):
+    """Boxes of all sizes, equal rows, flat ones and a long chain: dealt to a grid they give the rows of the fold, and of a plain loop."""
+    rng = random.Random(11)
+    size = lambda: rng.choice([.5, 3, 20, 64, 300]) * rng.uniform(.8, 1.3)
+    data = [(1, 0, i, rng.uniform(-200, 600), rng.uniform(-200, 600), size(), size(), rng.choice([.2, .5, .5, .9])) for i in range(700)]
+    data += [(1, 0, 5000 + i, 1000. + 8 * i, 0., 16., 16., 1 - i / 100) for i in range(60)]
+    data += [(1, 0, 9, 5., 5., 0., 10., .7), (1, 0, 9, 5., 5., -4., 10., .7), *[(1, 0, 9000, 7., 7., 30., 30., .95)] * 3]
+    data += [(2, 0, i, float(i), 0., 9., 9., .5) for i in range(5)] + [(3, 0, i, None if i else 1., 0., 9., 9., .5) for i in range(200)]
+    df = spark.createDataFrame(data, "clip_id bigint, frame_no bigint, box_no bigint, x double, y double, width double, height double, score double")
+    dealt = boxes.nms(df, threshold, maximum, crowded=100, front=front)
+    got = sorted(map(tuple, dealt.collect()), key=str)
+    assert got == sorted(map(tuple, boxes.nms(df, threshold, maximum).select(*dealt.columns).collect()), key=str)
+    kept = []
+    for d in sorted((d for d in data if d[0] == 1), key=lambda d: (-d[7], d[2:])):
+        if (maximum is None or len(kept) < maximum) and all(overlap(k[3:7], d[3:7], 1e-6) < threshold for k in kept):
+            kept.append(d)
+    assert [r[3:] for r in sorted((r for r in got if r[0] == 1), key=lambda r: r[2])] == [d[2:] for d in kept]
+
+
 def test_one_snake_of_a_large_plane(monkeypatch):
     """A region that winds through a 4K mask: a few rounds, not one per cell."""
     import numpy as np
