@@ -219,9 +219,25 @@ def box_geometry(spark, sf_dir):
                                ge.roll_radians(F.lit(100), F.lit(100), "width", "height").alias("roll")))
 
 
-@query("track_boxes")
+# Frame by frame: each old track in turn takes the best box that still waits (w) and goes on (o); the boxes that are left start tracks.
+TRACK_SCORES = "list_transform(a.w, lambda q: " + RATIO.format(a="t", c="q", f="1") + ")"
+TRACK_MIX = ", ".join(f"{c} := floor(t.{c} * 0.62::DOUBLE + a.w[i].{c} * (1 - 0.62::DOUBLE) + 0.5::DOUBLE)" for c in ("x", "y", "width", "height"))
+TRACKS_SQL = b.sql("B", f"""fr AS MATERIALIZED (SELECT clip_id, frame_no, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) AS k, list(struct_pack(x := x::DOUBLE, y := y::DOUBLE,
+    width := width::DOUBLE, height := height::DOUBLE, score := score::DOUBLE, track_id := frame_no || ':' || box_no) ORDER BY box_no) AS bs FROM B GROUP BY clip_id, frame_no),
+  tr(clip_id, frame_no, k, tracks) AS (SELECT clip_id, frame_no, k, bs[1:4] FROM fr WHERE k = 1
+    UNION ALL SELECT n.clip_id, n.frame_no, n.k, list_transform([list_reduce(CASE WHEN n.frame_no = p.frame_no + 1 THEN p.tracks ELSE p.tracks[1:0] END,
+      lambda a, t: list_transform([list_transform([{TRACK_SCORES}], lambda s: CASE WHEN list_max(s) > 0 AND list_max(s) >= 0.08::DOUBLE THEN list_position(s, list_max(s)) END)[1]],
+        lambda i: CASE WHEN i IS NULL THEN a ELSE struct_pack(w := list_concat(a.w[1:i - 1], a.w[i + 1:]),
+          o := list_append(a.o, struct_pack({TRACK_MIX}, score := a.w[i].score, track_id := t.track_id))) END)[1],
+      struct_pack(w := n.bs, o := n.bs[1:0]))], lambda e: list_concat(e.o, e.w)[1:4])[1]
+    FROM tr p JOIN fr n ON n.clip_id = p.clip_id AND n.k = p.k + 1),
+  ex AS (SELECT clip_id, frame_no, unnest(tracks) AS t, unnest(range(len(tracks))) AS i FROM tr)
+SELECT clip_id, frame_no, CAST(i AS INT) AS track_no, t.track_id AS track_id, round(t.x, 6) AS x, round(t.y, 6) AS y, round(t.width, 6) AS width, round(t.height, 6) AS height,
+  round(t.score, 6) AS score FROM ex""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("track_boxes", TRACKS_SQL)
 def track_boxes(spark, sf_dir):
-    """Order-dependent matching: checked against a sequential model in the tests."""
     out = bx.track_boxes(b.boxes(spark, sf_dir), max_tracks=4)
     return rounded(out.select("clip_id", "frame_no", "track_no", "track_id", "x", "y", "width", "height", "score"))
 
